@@ -23,6 +23,19 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality
+
+    scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select(F.col("r.doc_id").alias("doc_id"), "held_out", "score", "predicted")
+
+
 def op6_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import ring_shards
 
@@ -30,5 +43,12 @@ def op6_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op6_ring_shards)}
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify_languages
+
+    found = identify_languages(table(spark, sf_dir, "documents"))
+    return found.select(F.col("r.doc_id").alias("doc_id"), "held_out", "lang_pred", "score", "rejected")
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_main_text, op5_quality, op6_ring_shards, op7_language)}
 ORACLE: dict[str, str] = {}
