@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import whole_row
 
 #: Documents that tier one is fitted on, its entries, and the entries of a worker's cache.
-SAMPLE_DOCS, FREQUENT, CACHED = 4096, 50_000, 300_000
+SAMPLE_DOCS, FREQUENT, CACHED = 4096, 50_000, 500_000
 #: Longest piece that is kept, and the length of the slices of a longer text.
 KEEP_CHARS, SLICE_CHARS = 64, 1 << 20
 _SPACES = re.compile(r"\s ")
@@ -60,41 +60,50 @@ def load_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class PieceLengths:
-    """The two tiers in one worker."""
+def worker_store() -> dict:
+    """What a worker process keeps between tasks, as long as Spark reuses it."""
+    import sys
+    import types
+
+    return vars(sys.modules.setdefault("_spanweave_worker", types.ModuleType("_spanweave_worker")))
+
+
+class PieceTable:
+    """The two tiers in one worker: the given frequent pieces, and up to `cached` more that have been encoded here. value: of an encoding."""
+
+    def __init__(self, tokenizer, value, frequent: dict, cached: int = CACHED):
+        self.tokenizer, self.value, self.frequent, self.cached = tokenizer, value, frequent, cached
+        self.known = dict(frequent)
+
+    def values(self, words: list[str]) -> list:
+        missing = set(words).difference(self.known)
+        if missing:
+            if len(self.known) + len(missing) > self.cached + len(self.frequent):
+                self.known = dict(self.frequent)
+                missing = set(words).difference(self.known)
+            missing = list(missing)
+            self.known.update(zip(missing, map(self.value, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False))))
+        found = list(map(self.known.__getitem__, words))
+        for w in missing:
+            if len(w) > KEEP_CHARS:
+                del self.known[w]
+        return found
+
+
+class TokenCounter:
+    """Counts whole texts by a table of pieces."""
 
     def __init__(self, tokenizer, frequent: dict[str, int], cached: int = CACHED):
-        self.tokenizer, self.frequent, self.cached = tokenizer, frequent, cached
-        self.cache: dict[str, int] = {}
+        self.tokenizer, self.table = tokenizer, PieceTable(tokenizer, len, frequent, cached)
         self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
-    def encode(self, missing: list[str]) -> list[int]:
-        return [len(e) for e in self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)]
-
-    def count(self, texts: list[str]) -> list[int]:
-        totals, counts = [0] * len(texts), []
-        for i, text in enumerate(texts):
-            for part in slices(text):
-                if any(s in part for s in self.special):  # the tokenizer takes these out before it looks for pre-tokens
-                    totals[i] += len(self.tokenizer.encode(part, add_special_tokens=False))
-                else:
-                    totals[i] += self._sum(part)
-        return totals
-
-    def _sum(self, part: str) -> int:
-        get, own, words = self.frequent.get, self.cache, pieces(part)
-        found = list(map(get, words))
-        try:
-            return sum(found)
-        except TypeError:
-            pass
-        rest = [w for w, n in zip(words, found) if n is None]
-        missing = list({w for w in rest if w not in own})
-        fresh = dict(zip(missing, self.encode(missing))) if missing else {}
-        total = sum(n for n in found if n is not None) + sum(fresh[w] if w in fresh else own[w] for w in rest)
-        if len(own) + len(fresh) > self.cached:
-            own.clear()
-        own.update((w, n) for w, n in fresh.items() if len(w) <= KEEP_CHARS)
+    def count(self, text: str) -> int:
+        total = 0
+        for part in slices(text):
+            if any(s in part for s in self.special):  # the tokenizer takes these out before it looks for pre-tokens
+                total += len(self.tokenizer.encode(part, add_special_tokens=False))
+            else:
+                total += sum(self.table.values(pieces(part)))
         return total
 
 
@@ -134,10 +143,11 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, key: str = "doc_id", t
     narrow = docs.select(row.getField(key).alias("k"), F.coalesce(row.getField(text), F.lit("")).alias("t"))
 
     def run(batches):
-        tiers = PieceLengths(load_tokenizer(tokenizer_path), frequent.value)
+        store, name = worker_store(), ("lengths", tokenizer_path)
+        counter = store.get(name) or store.setdefault(name, TokenCounter(load_tokenizer(tokenizer_path), frequent.value))
         for b in batches:
             texts = b.column(1)
-            counts = tiers.count(texts.to_pylist())
+            counts = [counter.count(t) for t in texts.to_pylist()]
             n_bytes = pa.compute.binary_length(texts.cast(pa.large_binary()) if pa.types.is_large_string(texts.type) else texts.cast(pa.binary()))
             yield pa.RecordBatch.from_arrays([b.column(0), n_bytes.cast(pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], names=["k", "n_bytes", "n_tokens", "over_limit"])
 
