@@ -29,6 +29,14 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import score_quality
 
@@ -50,5 +58,23 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("r.doc_id").alias("doc_id"), "held_out", "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_main_text, op5_quality, op6_ring_shards, op7_language)}
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings")).select(F.col("r.vec_id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import exact_topk
+
+    return exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bagminhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select(F.col("r.doc_id").alias("doc_id"), "class_id", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_main_text, op4_harmonic_packing, op5_quality, op6_ring_shards, op7_language, op8_near_vectors, op9_exact_topk, op10_near_duplicates)}
 ORACLE: dict[str, str] = {}
