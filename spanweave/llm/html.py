@@ -21,6 +21,8 @@ from .common import whole_row
 WINDOW = 3
 #: A surge on a page without a marked article: this share of the largest window's text.
 SURGE_SHARE = 0.2
+#: There, a line that is made of links by this share is no text.
+LINK_SHARE = 0.8
 
 # Elements of HTML and names that pages commonly give to what is not the article.
 DROPPED = {"script", "style", "noscript", "template", "svg", "math", "head", "title", "iframe", "object", "canvas", "audio", "video", "select", "textarea", "button"}
@@ -126,7 +128,7 @@ def page_lines(html: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
         if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCKS:
             continue
         bad = is_furniture(tag, m[3])
-        if tag in ARTICLE and not bad:
+        if tag in ARTICLE and not bad and not marked:
             while stack and state["furniture"] and not state["article"] and stack[-1][0] not in FURNITURE:
                 pop()  # a container that was never closed ends where the article begins
             if not state["furniture"]:
@@ -178,7 +180,7 @@ def main_text(html: str | None) -> str:
         kept = spans(weights, 0)
         chosen = [i for lo, hi in kept for i in range(lo, hi)]
     else:
-        weights = [0 if bad else max(0, len(text) - links) for text, links, bad, _ in lines]
+        weights = [0 if bad or links >= LINK_SHARE * len(text) else len(text) - links for text, links, bad, _ in lines]
         largest = max((sum(weights[i : i + WINDOW]) for i in range(len(weights))), default=0)
         kept = spans(weights, SURGE_SHARE * largest)
         best = max(kept, key=lambda s: (sum(weights[s[0] : s[1]]), -s[0]), default=(0, 0))
