@@ -11,6 +11,7 @@ capacity/length of them whatever the input, are packed together in one small tas
 
 from __future__ import annotations
 
+import string
 import struct
 import zlib
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, whole_row
-from .tokens import PieceTable, load_tokenizer, slices, worker_store
+from .tokens import JOINED, PieceTable, joined_ids, load_tokenizer, slices, worker_store
 
 BUCKETS = 256
 _CONTROL = {chr(c) for c in (0x1C, 0x1D, 0x1E, 0x1F)}
@@ -33,11 +34,44 @@ def ids_bytes(encoding) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+class WordIdsEncoder:
+    """Ids of words, as bytes. Words of letters, with or without ASCII punctuation behind, are encoded joined by spaces: each gives one or two pre-tokens, whose last tokens the
+    vocabulary marks as ends. Where the ends don't number what is expected, and for other words, each is encoded alone."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.ends = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        for token, i in tokenizer.get_vocab(with_added_tokens=True).items():
+            self.ends[i] = token.endswith("</w>")
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        out: list = [None] * len(words)
+        plain, units = [], []
+        for i, w in enumerate(words):
+            stem = w.rstrip(string.punctuation)
+            if stem.isalpha():
+                plain.append(i)
+                units.append(1 if len(stem) == len(w) else 2)
+        for at in range(0, len(plain), JOINED):
+            some = plain[at : at + JOINED]
+            ids = joined_ids(self.tokenizer, " ".join([words[i] for i in some]))
+            ends, last = np.flatnonzero(self.ends[ids]), np.cumsum(units[at : at + JOINED]) - 1
+            if len(ends) == last[-1] + 1:
+                data, lo = ids.tobytes(), 0
+                for i, hi in zip(some, (4 * (ends[last] + 1)).tolist()):
+                    out[i] = data[lo:hi]
+                    lo = hi
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)):
+            out[i] = ids_bytes(e)
+        return out
+
+
 class WordEncoder:
     """Ids of texts under a tokenizer that drops white space: each white-space-separated word has ids of its own, which a table keeps."""
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.table = tokenizer, PieceTable(tokenizer, ids_bytes, {})
+        self.tokenizer, self.table = tokenizer, PieceTable(WordIdsEncoder(tokenizer), {})
 
     def encode(self, text: str) -> bytes:
         if any(c in text for c in _CONTROL):  # str.split() would split at these, the tokenizer doesn't

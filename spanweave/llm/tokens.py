@@ -13,16 +13,19 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import whole_row
 
-#: Documents that tier one is fitted on, its entries, and the entries of a worker's cache.
-SAMPLE_DOCS, FREQUENT, CACHED = 4096, 50_000, 500_000
+#: Documents that tier one is fitted on and characters taken of each, its entries, and the entries of a worker's cache.
+SAMPLE_DOCS, SAMPLE_CHARS, FREQUENT, CACHED = 2000, 10_000, 50_000, 300_000
 #: Longest piece that is kept, and the length of the slices of a longer text.
 KEEP_CHARS, SLICE_CHARS = 64, 1 << 20
+#: Pieces that are encoded as one text.
+JOINED = 256
 _SPACES = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
 
@@ -69,20 +72,25 @@ def worker_store() -> dict:
 
 
 class PieceTable:
-    """The two tiers in one worker: the given frequent pieces, and up to `cached` more that have been encoded here. value: of an encoding."""
+    """The two tiers in one worker: the given frequent pieces, and those that have been encoded here, in two generations of up to `cached`.
 
-    def __init__(self, tokenizer, value, frequent: dict, cached: int = CACHED):
-        self.tokenizer, self.value, self.frequent, self.cached = tokenizer, value, frequent, cached
-        self.known = dict(frequent)
+    encode: values of a list of pieces. A piece that is met again moves to the young generation, so what is frequent stays.
+    """
+
+    def __init__(self, encode, frequent: dict, cached: int = CACHED):
+        self.encode, self.frequent, self.cached = encode, frequent, cached
+        self.known, self.old = dict(frequent), {}
 
     def values(self, words: list[str]) -> list:
         missing = set(words).difference(self.known)
         if missing:
             if len(self.known) + len(missing) > self.cached + len(self.frequent):
-                self.known = dict(self.frequent)
+                self.known, self.old = dict(self.frequent), self.known
                 missing = set(words).difference(self.known)
-            missing = list(missing)
-            self.known.update(zip(missing, map(self.value, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False))))
+            again = {w for w in missing if w in self.old}
+            self.known.update((w, self.old[w]) for w in again)
+            missing = list(missing - again)
+            self.known.update(zip(missing, self.encode(missing)))
         found = list(map(self.known.__getitem__, words))
         for w in missing:
             if len(w) > KEEP_CHARS:
@@ -90,11 +98,41 @@ class PieceTable:
         return found
 
 
+def joined_ids(tokenizer, joined: str) -> np.ndarray:
+    return np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+
+
+class PieceLengthEncoder:
+    """Lengths of pieces. Pieces of one leading space and no other white space are encoded joined, which costs far less: in a byte-level vocabulary, their
+    tokens are told apart by the space that each begins with."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.starts = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        for token, i in tokenizer.get_vocab(with_added_tokens=True).items():
+            self.starts[i] = token.startswith("\u0120")  # how a byte-level vocabulary writes a space
+
+    def __call__(self, pieces_: list[str]) -> list[int]:
+        plain = [i for i, p in enumerate(pieces_) if len(p.split()) == 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace()]
+        out: list = [None] * len(pieces_)
+        for at in range(0, len(plain), JOINED):
+            some = plain[at : at + JOINED]
+            ids = joined_ids(self.tokenizer, "".join([pieces_[i] for i in some]))
+            firsts = np.flatnonzero(self.starts[ids])
+            if len(firsts) == len(some):
+                for i, n in zip(some, np.diff(np.append(firsts, len(ids))).tolist()):
+                    out[i] = n
+        rest = [i for i, n in enumerate(out) if n is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([pieces_[i] for i in rest], add_special_tokens=False)):
+            out[i] = len(e)
+        return out
+
+
 class TokenCounter:
     """Counts whole texts by a table of pieces."""
 
     def __init__(self, tokenizer, frequent: dict[str, int], cached: int = CACHED):
-        self.tokenizer, self.table = tokenizer, PieceTable(tokenizer, len, frequent, cached)
+        self.tokenizer, self.table = tokenizer, PieceTable(PieceLengthEncoder(tokenizer), frequent, cached)
         self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
     def count(self, text: str) -> int:
@@ -108,26 +146,15 @@ class TokenCounter:
 
 
 def frequent_lengths(docs: DataFrame, tokenizer_path: str, text: str = "text") -> dict[str, int]:
-    """Tier one: the lengths of the most frequent pieces among at most SAMPLE_DOCS documents.
+    """Tier one: the lengths of the most frequent pieces in the first SAMPLE_CHARS characters of SAMPLE_DOCS documents, from as few partitions as hold them.
 
-    An executor counts the sample; at most FREQUENT short pieces come to the driver. Changes no count, whatever it holds.
+    Changes no count, whatever it holds.
     """
-
-    def tally(batches):
-        seen: Counter = Counter()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                for part in slices(t or ""):
-                    seen.update(pieces(part))
-                if len(seen) > 20 * FREQUENT:
-                    seen = Counter(dict(seen.most_common(10 * FREQUENT)))
-        short = [w for w, n in seen.most_common(2 * FREQUENT) if len(w) <= KEEP_CHARS][:FREQUENT]
-        tok = load_tokenizer(tokenizer_path)
-        lengths = [len(e) for e in tok.encode_batch_fast(short, add_special_tokens=False)]
-        yield pa.RecordBatch.from_arrays([pa.array(short, pa.string()), pa.array(lengths, pa.int32())], names=["piece", "n"])
-
-    sample = docs.select(whole_row(docs).getField(text).alias("t")).limit(SAMPLE_DOCS)
-    return {r["piece"]: r["n"] for r in sample.mapInArrow(tally, "piece string, n int").collect()}
+    seen: Counter = Counter()
+    for r in docs.select(F.substring(whole_row(docs).getField(text), 1, SAMPLE_CHARS).alias("t")).limit(SAMPLE_DOCS).collect():
+        seen.update(pieces(r["t"] or ""))
+    short = [w for w, _ in seen.most_common(2 * FREQUENT) if w and len(w) <= KEEP_CHARS][:FREQUENT]
+    return dict(zip(short, PieceLengthEncoder(load_tokenizer(tokenizer_path))(short))) if short else {}
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, *, key: str = "doc_id", text: str = "text", limit: int = 512) -> DataFrame:
