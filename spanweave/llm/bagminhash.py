@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +30,8 @@ from .tokens import worker_store
 SHINGLE, BANDS, ROWS = 5, 26, 5
 COMPONENTS = BANDS * ROWS
 BUCKET, ANCHORS, CLOSE = 512, 4, 0.9
-#: Rounds that emit forests before the one that emits all remaining candidates; words handled at once by a task; words a worker keeps hashes of.
-FOREST_ROUNDS, WORDS_AT_ONCE, KEPT_WORDS = 3, 400_000, 500_000
+#: Rounds that emit forests before the one that emits all remaining candidates; bytes of text handled at once by a task; words a worker keeps hashes of.
+FOREST_ROUNDS, BYTES_AT_ONCE, KEPT_WORDS = 3, 1_000_000, 150_000
 _U = np.uint64
 _MIX1, _MIX2, _STEP = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)
 
@@ -127,21 +128,28 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def slices_of(column: pa.Array, size: int):
+    """(first row, rows) of stretches of a text column of about `size` bytes, one row at least."""
+    lengths = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(lengths)
+    at = 0
+    while at < len(lengths):
+        before = int(ends[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield at, end - at
+        at = end
+
+
 def sketch(docs: DataFrame) -> DataFrame:
     """docs: id, text. Rows: id, high and low half of the multiset's hash, brief (a byte of each component), keys (a long for each band). No row for a document without a shingle."""
 
     def run(batches):
         known = worker_store().setdefault("word-hashes", {})
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size < WORDS_AT_ONCE):
-                    size += len(texts[end] or "") // 6
-                    end += 1
-                doc, s, times = shingle_multisets(texts[at:end], known)
-                n = end - at
+            ids, column = b.column(0), b.column(1)
+            for at, n in slices_of(column, BYTES_AT_ONCE):
+                texts = column.slice(at, n).to_pylist()
+                doc, s, times = shingle_multisets(texts, known)
                 sig = signatures(doc, s, times, n)
                 some = np.flatnonzero(np.isfinite(sig[:, 0]))
                 hashes = []
@@ -161,7 +169,6 @@ def sketch(docs: DataFrame) -> DataFrame:
                     ],
                     names=["id", "high", "low", "brief", "keys"],
                 )
-                at = end
 
     return docs.mapInArrow(run, "id long, high long, low long, brief binary, keys array<long>")
 
@@ -253,10 +260,10 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
         known = worker_store().setdefault("word-hashes", {})
         for batch in batches:
             holds = []
-            ta, tb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for i in range(0, len(ta), 64):
-                n = len(ta[i : i + 64])
-                doc, s, times = shingle_multisets(ta[i : i + 64] + tb[i : i + 64], known)
+            for i in range(0, batch.num_rows, 32):
+                ta, tb = (batch.column(c).slice(i, 32).to_pylist() for c in (2, 3))
+                n = len(ta)
+                doc, s, times = shingle_multisets(ta + tb, known)
                 cut = np.searchsorted(doc, np.arange(2 * n + 1))
                 sets = [(s[cut[x] : cut[x + 1]], times[cut[x] : cut[x + 1]]) for x in range(2 * n)]
                 holds += [weighted_jaccard(sets[x], sets[n + x]) >= similarity for x in range(n)]
