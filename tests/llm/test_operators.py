@@ -259,7 +259,7 @@ def classes_by_force(texts: dict[int, str], similarity: float = 0.8) -> dict[int
     return {i: find(i) for i in texts}
 
 
-@pytest.mark.parametrize("bucket", [512, 6])
+@pytest.mark.parametrize("bucket", [512, 12, 6])
 def test_near_duplicates_against_all_pairs(spark, monkeypatch, bucket):
     from spanweave.llm import bagminhash
 
