@@ -23,10 +23,15 @@ def parted(df: DataFrame, keys: Sequence[str], start: str, end: str, beyond: int
     return df.withColumn("_cut", cut).withColumn("part", F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
 
 
-def grouped(df: DataFrame, by: Sequence[str], columns: dict[str, str], function) -> DataFrame:
-    """Apply a function of a sorted pandas frame to each group; it returns the frame with the new columns, given with their types."""
+def grouped(df: DataFrame, keys: Sequence[str], columns: dict[str, str], function, together: int = 256) -> DataFrame:
+    """Apply a function of a pandas frame to each part of each key; it returns the frame with the new columns, given with their types. Up to `together` parts of a key share one call's overhead."""
     schema = T.StructType([*df.schema.fields, *[T.StructField(c, T._parse_datatype_string(t)) for c, t in columns.items()]])
-    return df.groupBy(*by).applyInPandas(function, schema)
+    names = schema.fieldNames()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([function(g) for _, g in pdf.groupby("part", sort=False)])[names]
+
+    return df.withColumn("_g", F.expr(f"part div {together}")).groupBy(*keys, "_g").applyInPandas(run, schema)
 
 
 def walk_breaks(gains: np.ndarray, costs: np.ndarray) -> np.ndarray:
@@ -50,7 +55,7 @@ def score_breaks(df: DataFrame, keys: Sequence[str], hard_gap: int, start: str =
         broken = walk_breaks(gains, costs) | walk_breaks(gains[::-1], costs[::-1])[::-1]
         return pdf.assign(segment=np.concatenate([[0], np.cumsum(broken)]).astype("int64"))
 
-    return grouped(parted(df, keys, start, end, hard_gap), [*keys, "part"], {"segment": "bigint"}, run)
+    return grouped(parted(df, keys, start, end, hard_gap), keys, {"segment": "bigint"}, run)
 
 
 def capped_groups(df: DataFrame, keys: Sequence[str], gap: int, cap: int, start: str = "s", end: str = "e") -> DataFrame:
@@ -65,7 +70,7 @@ def capped_groups(df: DataFrame, keys: Sequence[str], gap: int, cap: int, start:
             groups.append(group)
         return pdf.assign(member_of=np.array(groups, "int64"))
 
-    return grouped(parted(df, keys, start, end, gap), [*keys, "part"], {"member_of": "bigint"}, run)
+    return grouped(parted(df, keys, start, end, gap), keys, {"member_of": "bigint"}, run)
 
 
 def uniform_breakpoints(df: DataFrame, keys: Sequence[str], at: str, gap: int) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .segments import grouped
+
 
 def exact_union(observations: DataFrame, key: Sequence[str], sample: str) -> DataFrame:
     """One row a variant key, with the number of distinct samples that carry it (nsup) and of observations (nobs).
@@ -35,7 +37,7 @@ def leader_groups(df: DataFrame, keys: Sequence[str], at: str, near: int, tie: S
     """
     order = Window.partitionBy(*keys).orderBy(at, *tie)
     cut = F.coalesce((F.col(at) - F.lag(at).over(order) >= near).cast("int"), F.lit(1))
-    parted = df.withColumn("_cut", cut).withColumn("_part", F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
+    parted = df.withColumn("_cut", cut).withColumn("part", F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([at, *tie])
@@ -46,8 +48,7 @@ def leader_groups(df: DataFrame, keys: Sequence[str], at: str, near: int, tie: S
             leaders.append(now)
         return pdf.assign(leader=leaders)
 
-    schema = T.StructType([*parted.schema.fields, T.StructField("leader", T.LongType())])
-    return parted.groupBy(*keys, "_part").applyInPandas(run, schema).drop("_part")
+    return grouped(parted, keys, {"leader": "bigint"}, run).drop("part")
 
 
 def trio_counts(flags: DataFrame, group: Sequence[str]) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cigar, sequences, text
-from ..operators import election, graph, intervals, joins, kmers, segments, variants, windows
+from ..operators import alignments as aligned
+from ..operators import election, graph, intervals, joins, kmers, matching, segments, sequence_runs, variants, windows
 from .tables import DAY, D, E, L, cells_sql, coalesce_sql, hits, letters, shipments, spans_of_days, table, union_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -637,3 +638,101 @@ def split_round_trip(spark, d):
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber")
     merged = rows.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_suppkey", "l_partkey", "l_linenumber")).alias("o"))
     return merged.select("l_orderkey", F.inline("o")).groupBy("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber").agg(F.count("*").alias("n"))
+
+
+# Matching, runs along sequences, alignments
+
+
+def block_pairs(spark, d):
+    rows = spans_of_days(spark, d).groupBy("flag", "supp", (F.col("k") % 40).alias("r")).agg(F.min(F.col("e") - F.col("s")).alias("n"))
+    return rows.select("flag", "supp", "r", (F.col("n") / 50.0).alias("distance"))
+
+
+@query()
+def greedy_matches(spark, d):
+    return matching.greedy_matches(block_pairs(spark, d), ["flag"], "supp", "r", "distance").select("flag", "supp", "r", "tag")
+
+
+@query(
+    f"""WITH b AS (SELECT l_suppkey AS supp, {DAY} AS q0, {DAY} + CAST(l_quantity AS BIGINT) AS q1, CAST(l_partkey % 3 AS BIGINT) AS d FROM lineitem), o AS (SELECT *, max(q1) OVER (PARTITION BY supp, d ORDER BY q0, q1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM b),
+  i AS (SELECT *, sum(CASE WHEN pm IS NULL OR q0 > pm THEN 1 ELSE 0 END) OVER (PARTITION BY supp, d ORDER BY q0, q1 ROWS UNBOUNDED PRECEDING) AS g FROM o) SELECT supp, min(q0) AS q0, max(q1) AS q1, min(q0) + d AS t0, max(q1) + d AS t1 FROM i GROUP BY supp, d, g"""
+)
+def collinear_blocks(spark, d):
+    rows = spans_of_days(spark, d).select("supp", F.col("s").alias("q0"), F.col("e").alias("q1"), (F.col("k") % 3).alias("d"))
+    return matching.collinear_blocks(rows.select("supp", "q0", "q1", (F.col("q0") + F.col("d")).alias("t0"), (F.col("q1") + F.col("d")).alias("t1")), ["supp"])
+
+
+@query(f"WITH {L}, o AS (SELECT *, max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM L), i AS (SELECT *, sum(CASE WHEN pm IS NULL OR s - pm > 7 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM o) SELECT k, min(s) AS s, max(e) AS e, max(prio) AS best, count(*) AS n FROM i GROUP BY k, g")
+def merged_spans(spark, d):
+    rows = shipments(spark, d).select("k", "s", "e", "prio")
+    return matching.merged_spans(rows, ["k"], 7, [F.max("prio").alias("best"), F.count("*").alias("n")])
+
+
+@query()
+def preferred_windows(spark, d):
+    rows = spans_of_days(spark, d).select("k", "s", "e")
+    return matching.preferred_windows(rows, ["k"], 120).groupBy("k", "part", "window").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count("*").alias("n"))
+
+
+@query("SELECT l_suppkey AS supp, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total, CAST(dense_rank() OVER (ORDER BY sum(CAST(l_quantity AS BIGINT)) DESC) AS INTEGER) AS rank FROM lineitem GROUP BY l_suppkey")
+def priority_ranks(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("supp"), F.col("l_quantity").cast("long").alias("n"))
+    return matching.dense_ranks(rows, ["supp"], "n")
+
+
+@query("SELECT p_brand, count(*) AS n, row_number() OVER (ORDER BY CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS BIGINT)) AS place FROM part GROUP BY p_brand")
+def natural_order(spark, d):
+    brands = table(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n"))
+    return brands.withColumn("place", F.row_number().over(Window.orderBy(matching.natural_key(F.col("p_brand")))).cast("long"))
+
+
+@query(f"WITH {D}, {KMERS.format(k=6)}, T AS (SELECT DISTINCT kmer FROM K WHERE lang = 'en'), X AS (SELECT DISTINCT kmer FROM K WHERE lang <> 'en') SELECT kmer FROM T EXCEPT SELECT kmer FROM X")
+def kmer_exclusion(spark, d):
+    rows = kmers.kmers(letters(spark, d), "t", 6, ["lang"])
+    return rows.where("lang = 'en'").select("kmer").distinct().join(rows.where("lang <> 'en'").select("kmer").distinct(), "kmer", "left_anti")
+
+
+@query(f"WITH {D}, {KMERS.format(k=6)}, T AS (SELECT DISTINCT kmer FROM K WHERE lang = 'de') SELECT source, count(*) AS hits, count(DISTINCT kmer) AS kinds FROM K JOIN T USING (kmer) WHERE lang <> 'de' GROUP BY source")
+def kmer_target_counts(spark, d):
+    rows = kmers.kmers(letters(spark, d), "t", 6, ["lang", "source"])
+    targets = rows.where("lang = 'de'").select("kmer").distinct()
+    found = rows.where("lang <> 'de'").groupBy("source", "kmer").agg(F.count("*").alias("n")).join(targets, "kmer", "left_semi")
+    return found.groupBy("source").agg(F.sum("n").alias("hits"), F.count("*").alias("kinds"))
+
+
+@query(f"WITH {D}, {KMERS.format(k=8)}, C AS (SELECT lang, doc_id, kmer, count(*) AS n FROM K GROUP BY lang, doc_id, kmer) SELECT doc_id, CAST(round(sum(n * (1 - 1.0 / n)), 6) AS DOUBLE) AS ambiguity, CAST(sum(n) AS BIGINT) AS seeds FROM C GROUP BY doc_id")
+def seed_ambiguity(spark, d):
+    counts = kmers.occurrences(kmers.kmers(letters(spark, d), "t", 8, ["doc_id"]), ["doc_id"])
+    return counts.groupBy("doc_id").agg(F.round(F.sum(F.col("n") * (1 - 1 / F.col("n"))), 6).alias("ambiguity"), F.sum("n").alias("seeds"))
+
+
+@query()
+def low_complexity_tracts(spark, d):
+    return sequence_runs.low_complexity(letters(spark, d).select("doc_id", "t"), "doc_id", "t", 64, 3.0)
+
+
+@query()
+def repeat_units(spark, d):
+    return sequence_runs.repeat_units(letters(spark, d).select("doc_id", "t"), "doc_id", "t", 8)
+
+
+@query()
+def demoted_depth_runs(spark, d):
+    return sequence_runs.without_short_runs(depth_runs(spark, d), ["supp"], 3, "demote")
+
+
+@query()
+def absorbed_depth_runs(spark, d):
+    return sequence_runs.without_short_runs(depth_runs(spark, d), ["supp"], 3, "absorb")
+
+
+@query(f"WITH {CIGAR}, p AS (SELECT *, unnest([0, 10, 30, 52, 60]) AS x FROM C) SELECT c, CAST(x AS BIGINT) AS at, CASE WHEN x < q + l_linenumber THEN CAST(x AS BIGINT) END AS place FROM p WHERE x < q + l_linenumber + i")
+def cigar_projection(spark, d):
+    rows = alignments(spark, d).select("c", F.explode(F.array(*[F.lit(x).cast("long") for x in (0, 10, 30, 52, 60)])).alias("at"))
+    return rows.where(F.col("at") < cigar.query_span(F.col("c"))).withColumn("place", aligned.project(F.col("c"), F.col("at")))
+
+
+@query()
+def alignment_scores(spark, d):
+    n = table(spark, d, "part").select("p_name").distinct()
+    return n.join(n.withColumnRenamed("p_name", "other"), F.col("p_name") < F.col("other")).withColumn("score", aligned.global_score("p_name", "other"))
