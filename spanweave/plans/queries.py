@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cigar, sequences, text
 from ..operators import alignments as aligned
-from ..operators import election, graph, intervals, joins, kmers, matching, segments, sequence_runs, variants, windows
+from ..operators import election, filters, graph, intervals, joins, kmers, matching, segments, sequence_runs, variants, windows
 from .tables import DAY, D, E, L, cells_sql, coalesce_sql, hits, letters, shipments, spans_of_days, table, union_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -736,3 +736,116 @@ def cigar_projection(spark, d):
 def alignment_scores(spark, d):
     n = table(spark, d, "part").select("p_name").distinct()
     return n.join(n.withColumnRenamed("p_name", "other"), F.col("p_name") < F.col("other")).withColumn("score", aligned.global_score("p_name", "other"))
+
+
+# Filters by place, cuts and walks
+
+
+@query(f"WITH {L}, h AS (SELECT k, min(s) AS lo, max(e) AS hi FROM L GROUP BY k) SELECT k, id FROM L JOIN h USING (k) WHERE s >= lo + 200 AND e <= hi - 200")
+def edge_filter(spark, d):
+    return filters.away_from_edges(shipments(spark, d), ["k"], 200).select("k", "id")
+
+
+@query(f"WITH {L} SELECT k, id FROM L a WHERE flag = 'R' AND NOT EXISTS (SELECT 1 FROM L b WHERE b.flag = 'A' AND b.k = a.k AND a.s < b.e AND b.s < a.e)")
+def exclusion_filter(spark, d):
+    rows = shipments(spark, d)
+    return filters.without_overlaps(rows.where("flag = 'R'"), rows.where("flag = 'A'"), ["k"], ["k", "id"], bin_width=DAYS).select("k", "id")
+
+
+@query(f"WITH {L}, B AS (SELECT * FROM L WHERE flag <> 'N'), {union_sql('u', 'B', 'k')} SELECT k, id FROM L a WHERE flag = 'N' AND EXISTS (SELECT 1 FROM u WHERE u.k = a.k AND u.s <= a.s AND a.e <= u.e)")
+def containment_filter(spark, d):
+    rows = shipments(spark, d)
+    return filters.within(rows.where("flag = 'N'"), rows.where("flag <> 'N'"), ["k"], ["k", "id"], bin_width=DAYS).select("k", "id")
+
+
+@query(f"WITH {L}, p AS (SELECT k, id, s, e, CAST(ceil((e - s) / 12.0) AS BIGINT) AS n FROM L), q AS (SELECT *, unnest(range(n)) AS piece FROM p) SELECT k, id, piece, CAST(s + (e - s) * piece // n AS BIGINT) AS ps, CAST(s + (e - s) * (piece + 1) // n AS BIGINT) AS pe FROM q")
+def grid_cut(spark, d):
+    return filters.grid_cut(shipments(spark, d).select("k", "id", "s", "e"), 12).select("k", "id", "piece", "ps", "pe")
+
+
+@query(
+    f"""WITH {L}, {union_sql('u', 'L', 'supp')}, g AS (SELECT *, sum(CASE WHEN s - p >= 3 OR p IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY supp ORDER BY s) AS g FROM (SELECT *, lag(e) OVER (PARTITION BY supp ORDER BY s) AS p FROM u) z),
+  x AS (SELECT supp, g, min(s) AS s, max(e) AS e, CAST(sum(e - s) AS BIGINT) AS covered FROM g GROUP BY supp, g) SELECT x.supp, x.s, x.e, covered, (SELECT count(*) FROM L WHERE L.supp = x.supp AND L.s >= x.s AND L.e <= x.e) AS n FROM x WHERE covered >= least(30, (x.e - x.s) // 2)"""
+)
+def covered_groups(spark, d):
+    return filters.covered_groups(spans_of_days(spark, d), ["supp"], 3, 30)
+
+
+@query(f"WITH {L}, R AS (SELECT k, supp AS axis, min(s) AS rs, max(e) AS re FROM L WHERE flag <> 'N' GROUP BY k, supp) SELECT a.k, a.id, R.axis FROM L a JOIN R ON R.k = a.k AND R.rs <= a.s AND a.e <= R.re AND R.axis * 2 <= a.supp AND a.supp < R.axis * 2 + 20 WHERE a.flag = 'N'")
+def two_axis_assignment(spark, d):
+    rows = shipments(spark, d)
+    runs = rows.where("flag <> 'N'").groupBy("k", F.col("supp").alias("axis")).agg(F.min("s").alias("rs"), F.max("e").alias("re")).withColumns({"o0": F.col("axis") * 2, "o1": F.col("axis") * 2 + 20})
+    events = rows.where("flag = 'N'").select("k", "id", "s", "e", "supp")
+    return filters.two_axis_join(events, runs, ["k"], bin_width=1024, event=("s", "e"), other="supp", run=("rs", "re"), run_other=("o0", "o1")).select("k", "id", "axis")
+
+
+STEP = "l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice"
+
+
+def walks(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.struct(*STEP.split(", ")).alias("step"), F.col("l_quantity").cast("long").alias("n"))
+
+
+@query(f"WITH p AS (SELECT l_orderkey, l_partkey, CAST(l_quantity AS BIGINT) AS n, sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY {STEP} ROWS UNBOUNDED PRECEDING) AS e FROM lineitem) SELECT l_orderkey, l_partkey, CAST(greatest(20, e - n) - (e - n) AS BIGINT) AS \"from\", CAST(least(70, e) - (e - n) AS BIGINT) AS \"to\" FROM p WHERE e - n < 70 AND e > 20")
+def walk_slices(spark, d):
+    return filters.walk_slice(walks(spark, d), ["l_orderkey"], [F.col("step")], "n", 20, 70).select("l_orderkey", "l_partkey", "from", "to")
+
+
+@query(f"WITH p AS (SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey % 5 = 0 AS x, sum(CASE WHEN l_suppkey % 5 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY {STEP} ROWS UNBOUNDED PRECEDING) AS run FROM lineitem) SELECT l_orderkey, l_partkey, CAST(run AS BIGINT) AS run FROM p WHERE NOT x")
+def broken_walks(spark, d):
+    return filters.broken_walks(walks(spark, d), ["l_orderkey"], [F.col("step")], F.col("l_suppkey") % 5 == 0).select("l_orderkey", "l_partkey", "run")
+
+
+@query(f"WITH p AS (SELECT l_suppkey AS x, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY {STEP}) AS y FROM lineitem), q AS (SELECT least(x, y) AS a, greatest(x, y) AS b, count(*) AS n FROM p WHERE y IS NOT NULL GROUP BY 1, 2) SELECT * FROM q WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT x.l_suppkey AS u, y.l_suppkey AS v FROM lineitem x JOIN lineitem y ON x.l_partkey = y.l_partkey AND x.l_suppkey <= y.l_suppkey AND x.l_partkey % 40 = 0) z WHERE u = a AND v = b)")
+def missing_links(spark, d):
+    rows = table(spark, d, "lineitem").where("l_partkey % 40 = 0").select("l_partkey", "l_suppkey").distinct()
+    known = rows.select("l_partkey", F.col("l_suppkey").alias("a")).join(rows.select("l_partkey", F.col("l_suppkey").alias("b")), "l_partkey").where("a <= b").select("a", "b")
+    return filters.missing_links(walks(spark, d), known, ["l_orderkey"], "l_suppkey", "step")
+
+
+@query("SELECT p_name, count(DISTINCT p_brand) AS kinds FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) > 1")
+def conflicting_names(spark, d):
+    return filters.conflicting_names(table(spark, d, "part"), "p_name", "p_brand")
+
+
+@query(
+    """WITH RECURSIVE T AS (SELECT c_custkey AS node, CASE WHEN c_custkey % 40 = 0 THEN NULL ELSE c_custkey - 1 END AS up FROM customer), R AS (SELECT node, node AS root FROM T WHERE up IS NULL UNION ALL SELECT T.node, R.root FROM T JOIN R ON T.up = R.node),
+  S AS (SELECT root, count(*) AS size FROM R GROUP BY root) SELECT root, size, CAST((sum(size) OVER (ORDER BY root) - size) // 100 AS BIGINT) AS bin FROM S"""
+)
+def packed_trees(spark, d):
+    rows = table(spark, d, "customer").select(F.expr("c_custkey - c_custkey % 40").alias("root"))
+    return filters.packed_trees(rows, "root", 100)
+
+
+@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem")
+def list_transpose(spark, d):
+    lists = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_partkey", "l_suppkey", "l_linenumber")).alias("o"))
+    columns = ("l_partkey", "l_suppkey", "l_linenumber")
+    texts = lists.select("l_orderkey", *[F.array_join(F.col("o").getField(c).cast("array<string>"), ",").alias(c) for c in columns])
+    zipped = texts.select("l_orderkey", F.explode(F.arrays_zip(*[F.split(c, ",").alias(c) for c in columns])).alias("x"))
+    return zipped.select("l_orderkey", F.col("x.l_partkey").cast("long").alias("l_partkey"), F.col("x.l_suppkey").cast("long").alias("l_suppkey"), F.col("x.l_linenumber").cast("int").alias("l_linenumber"))
+
+
+@query("SELECT event_id, user_id, 'h' || user_id % 3 AS hap, event_type || '_x' AS contig FROM events")
+def name_decomposition(spark, d):
+    name = F.concat(F.lit("g7_"), F.col("user_id").cast("string"), F.lit("_h"), (F.col("user_id") % 3).cast("string"), F.lit("_"), "event_type", F.lit("_x_5_90"))
+    return table(spark, d, "events").select("event_id", text.haplotype_name(name).alias("x")).select("event_id", F.col("x.sample").cast("long").alias("user_id"), F.col("x.hap").alias("hap"), F.col("x.contig").alias("contig"))
+
+
+@query(f"WITH {L}, {union_sql('u', 'L', 'flag, k')} SELECT flag, count(*) AS n, CAST(sum(e - s) AS BIGINT) AS bases, max(e - s) AS longest FROM u GROUP BY flag")
+def coverage_statistics(spark, d):
+    u = intervals.union(spans_of_days(spark, d), ["flag", "k"])
+    return u.groupBy("flag").agg(F.count("*").alias("n"), F.sum(F.col("e") - F.col("s")).alias("bases"), F.max(F.col("e") - F.col("s")).alias("longest"))
+
+
+@query(f"WITH {L}, {cells_sql('c', 'L', 'k')}, q AS (SELECT c.k, cs, ce, count(DISTINCT supp) AS n FROM c JOIN L ON L.k = c.k AND L.s <= cs AND L.e >= ce GROUP BY c.k, cs, ce) SELECT k, CAST(sum(CASE WHEN n > 1 THEN ce - cs ELSE 0 END) AS BIGINT) AS shared, CAST(sum(CASE WHEN n = 1 THEN ce - cs ELSE 0 END) AS BIGINT) AS own FROM q GROUP BY k")
+def shared_coverage(spark, d):
+    spans = intervals.active_sets(spans_of_days(spark, d), ["k"], "supp", bin_width=DAYS)
+    size, many = F.col("e") - F.col("s"), F.instr("members", ",") > 0
+    return spans.groupBy("k").agg(F.sum(F.when(many, size).otherwise(0)).alias("shared"), F.sum(F.when(many, 0).otherwise(size)).alias("own"))
+
+
+@query(f"WITH {L}, x AS (SELECT supp, k, CAST(sum(CAST(round(prio * 100) AS BIGINT) * (e - s)) // sum(e - s) AS BIGINT) AS mean, max(e - s) AS maxsize, min(s) AS first, max(e) AS last FROM L GROUP BY supp, k) SELECT * FROM x")
+def weighted_means(spark, d):
+    w = F.col("e") - F.col("s")
+    return shipments(spark, d).groupBy("supp", "k").agg(F.expr("sum(CAST(round(prio * 100) AS BIGINT) * (e - s)) div sum(e - s)").alias("mean"), F.max(w).alias("maxsize"), F.min("s").alias("first"), F.max("e").alias("last"))
