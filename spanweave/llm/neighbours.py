@@ -96,35 +96,24 @@ def start(nodes: DataFrame, n: int, seed: int, length: int, floor: float) -> Dat
     placed = dealt(rows, "leaf", GROUP, f"start{seed}").join(coded.select("id", "u"), "id").select("g", "id", "u")
 
     def compare(batches):
-        for t in in_groups(batches, []):
+        for t in in_groups(batches):
             if t.num_rows > 1:
                 u = matrix(t.column(2))
                 a, b, s = best_of(t.column(1).to_numpy(), u @ u.T, length, floor)
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], names=["a", "b", "s"])
+                    yield from both_ways(a, b, s, length)
 
     return placed.repartition("g").sortWithinPartitions("g").mapInArrow(compare, "a long, b long, s double")
 
 
-def shortlist(edges: DataFrame, length: int) -> DataFrame:
-    """The best `length` neighbours of each node, of edges (a, b, s) in either direction. A node meets at most what the tasks' own lists hold."""
+def both_ways(a: np.ndarray, b: np.ndarray, s: np.ndarray, length: int) -> list[pa.RecordBatch]:
+    """Edges in both directions, the best `length` of each node among them."""
+    return best_rows(pa.table({"a": np.concatenate([a, b]), "b": np.concatenate([b, a]), "s": np.concatenate([s, s])}), length).to_batches()
 
-    def trim(batches):
-        held = None
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            held = t if held is None else pa.concat_tables([held, t])
-            if held.num_rows > 400_000:
-                held = best_rows(held, length)
-                if held.num_rows > 200_000:
-                    yield from held.to_batches()
-                    held = None
-        if held is not None and held.num_rows:
-            yield from best_rows(held, length).to_batches()
 
-    both = edges.select("a", "b", "s").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"))
-    local = both.mapInArrow(trim, "a long, b long, s double")
-    return local.repartition("a").mapInArrow(lambda batches: whole(batches, length), "a long, b long, s double")
+def shortlist(edges: DataFrame, length: int) -> DataFrame:
+    """The best `length` neighbours of each node, of edges (a, b, s) that hold both directions. A node meets at most what the tasks' own lists hold."""
+    return edges.repartition("a").mapInArrow(lambda batches: whole(batches, length), "a long, b long, s double")
 
 
 def whole(batches, length: int):
@@ -160,7 +149,7 @@ def refine(graph: DataFrame, nodes: DataFrame, round_: int, length: int, floor:
 
     def compare(batches):
         out_a, out_b, out_s, n = [], [], [], 0
-        for t in in_groups(batches, []):
+        for t in in_groups(batches):
             if t.num_rows < 2:
                 continue
             ids, bar, u = t.column(1).to_numpy(), t.column(2).to_numpy(), matrix(t.column(3))
@@ -171,10 +160,10 @@ def refine(graph: DataFrame, nodes: DataFrame, round_: int, length: int, floor:
             out_s.append(s[i, j])
             n += len(i)
             if n > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_b, out_s)], names=["a", "b", "s"])
+                yield from both_ways(*(np.concatenate(x) for x in (out_a, out_b, out_s)), length)
                 out_a, out_b, out_s, n = [], [], [], 0
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_b, out_s)], names=["a", "b", "s"])
+            yield from both_ways(*(np.concatenate(x) for x in (out_a, out_b, out_s)), length)
 
     return rows.repartition("g").sortWithinPartitions("g").mapInArrow(compare, "a long, b long, s double")
 
@@ -213,7 +202,7 @@ def count_links(nodes: DataFrame, parts: DataFrame, threshold: float) -> DataFra
     rows = tiles.select(F.xxhash64("component", low, high).alias("g"), (F.col("chunk") <= F.col("other")).alias("left"), (F.col("chunk") >= F.col("other")).alias("right"), "id").join(nodes.select("id", "n", "u"), "id")
 
     def compare(batches):
-        for t in in_groups(batches, []):
+        for t in in_groups(batches):
             left, right = t.column(1).to_numpy(zero_copy_only=False), t.column(2).to_numpy(zero_copy_only=False)
             ids, n, u = t.column(3).to_numpy(), t.column(4).to_numpy().astype(np.float64), matrix(t.column(5))
             a, b = np.flatnonzero(left), np.flatnonzero(right)
@@ -250,13 +239,14 @@ def near_vectors(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embe
             if changed <= SETTLED * total:
                 break
         edges = graph.where(F.col("s") >= threshold)
-        parts = durable(connected_components(edges), "nn-parts")
+        parts = durable(connected_components(edges.select("a", "b")), "nn-parts")
         links, whole_, inside = audit(nodes, parts, threshold)
         if whole_ == inside:
             break
         missed = links.select("a", "b", F.lit(float(threshold)).alias("s"))
+        missed = missed.unionAll(missed.select("b", "a", "s"))
         edges = durable(edges.unionAll(missed), "nn-edges")
-        parts = durable(connected_components(edges), "nn-parts")
+        parts = durable(connected_components(edges.select("a", "b")), "nn-parts")
     row = whole_row(vectors)
     packed = vectors.select(row.alias("r"), row.getField(key).cast("long").alias("id"))
     if parts is None:
