@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -21,14 +21,13 @@ def fold(key):
 
 
 def bounded_sample(rows: DataFrame, klass: str, per_class: int) -> DataFrame:
-    """At most per_class rows (key, class) of each class, by hash of the key: a count of the classes, a filter by hash and a rank over what is left."""
+    """About per_class rows of each class, all of a smaller one: a count of the classes and a filter by the hash of `key`, so that nothing is sorted or brought together."""
     counts = {r[klass]: r["n"] for r in rows.groupBy(klass).agg(F.count("*").alias("n")).collect()}  # one row a class
     spread = 1 << 20
     share = F.lit(0)
     for value, n in counts.items():
-        share = F.when(F.col(klass) == F.lit(value), F.lit(min(spread, int(1.5 * per_class * spread / n) + 64))).otherwise(share)
-    near = rows.withColumn("_h", F.xxhash64("key")).where(F.pmod(F.col("_h"), F.lit(spread)) < share)
-    return near.withColumn("_r", F.row_number().over(Window.partitionBy(klass).orderBy("_h", "key"))).where(F.col("_r") <= per_class).drop("_h", "_r")
+        share = F.when(F.col(klass) == F.lit(value), F.lit(min(spread, -(-per_class * spread // n)))).otherwise(share)
+    return rows.where(F.pmod(F.xxhash64("key"), F.lit(spread)) < share)
 
 
 def compressor(content: bytes, level: int, chunk: int) -> zstandard.ZstdCompressor:

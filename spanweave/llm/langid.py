@@ -58,7 +58,7 @@ class Languages:
 
 
 def learn_languages(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, list[bytes]]:
-    """Dictionaries of each language, from at most DOCS_PER_LANGUAGE documents of it outside fold 2 with a language and a letter."""
+    """Dictionaries of each language, from about DOCS_PER_LANGUAGE documents of it outside fold 2 with a language and a letter."""
     row = whole_row(docs)
     rows = docs.select(row.getField(key).alias("key"), row.getField(text).alias("text"), row.getField(lang).alias("lang"))
     usable = rows.where((fold(F.col("key")) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())

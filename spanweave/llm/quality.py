@@ -84,7 +84,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> np.ndarray:
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality") -> QualityModel:
-    """Fit on at most DOCS_PER_CLASS labelled rows of each class outside fold 2.
+    """Fit on about DOCS_PER_CLASS labelled rows of each class outside fold 2.
 
     Folds 0 and 3 make the dictionaries, without the lines that both classes have; fold 1 calibrates. A doc_id with several labels has its smallest. Without rows of both
     classes in both parts, the score is the share of good rows, 0.5 without any.
@@ -93,7 +93,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", te
     known = labels.select(lab.getField(key).alias("key"), lab.getField(label).alias("y")).where(F.col("key").isNotNull() & F.col("y").isNotNull() & (fold(F.col("key")) != 2))
     ids = bounded_sample(known.groupBy("key").agg(F.min("y").alias("y")), "y", DOCS_PER_CLASS)
     texts = docs.select(row.getField(key).alias("key"), F.substring(row.getField(text), 1, FIT_CHARS).alias("text"))
-    sample = texts.join(F.broadcast(ids), "key").withColumn("fold", fold(F.col("key")))  # 2 x DOCS_PER_CLASS ids at most
+    sample = texts.join(F.broadcast(ids), "key").withColumn("fold", fold(F.col("key")))  # about 2 x DOCS_PER_CLASS ids
     rows = sorted(((str(r["key"]), r["text"] or "", int(r["y"]), r["fold"]) for r in sample.collect()), key=lambda r: (r[0], r[1]))
     made, held = [r for r in rows if r[3] != 1], [r for r in rows if r[3] == 1]
     if min(len({r[2] for r in part}) for part in (made, held)) < 2:
