@@ -4,8 +4,8 @@ Markup is stripped into one line a block element; text in containers that are pa
 lines, text lengths are summed in sliding windows. Where the sum surges from its floor the article begins, where it dives back the article ends,
 and the weighted lines between are kept, all of them.
 
-A page that marks its article (article or main) gives lines outside it no weight either, so any text in it is a surge. On other pages link
-text carries no weight, the surge must reach a fifth of the page's largest window, and the span with the most text wins.
+A page that marks its article (by element, role, id or class) gives lines outside it no weight either, so any text in it is a surge. On other pages link
+text carries no weight, and a surge must reach a fifth of the page's largest window.
 """
 
 from __future__ import annotations
@@ -37,6 +37,9 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math")
 ARTICLE = {"article", "main"}
+# Ids and classes that pages commonly give to the container of their article.
+ARTICLE_IDS = {"main", "content", "article", "main-content", "maincontent", "article-body", "post"}
+ARTICLE_CLASSES = {"article", "article-body", "article-content", "main-content", "post-content", "post-body", "entry-content", "story-body"}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -64,10 +67,23 @@ def is_furniture(tag: str, attrs: str) -> bool:
     return False
 
 
+def is_article(tag: str, attrs: str) -> bool:
+    """Whether an element is marked as the article, by its name, role, id, class or item property."""
+    if tag in ARTICLE:
+        return True
+    if tag not in ("div", "section", "td") or not attrs.strip():
+        return False
+    for m in _ATTR.finditer(attrs):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip().lower()
+        if name == "role" and value == "main" or name == "itemprop" and value == "articlebody" or name == "id" and value in ARTICLE_IDS or name == "class" and not ARTICLE_CLASSES.isdisjoint(value.split()):
+            return True
+    return False
+
+
 def page_lines(html: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
     """Lines of a page in order: (text, characters of links, furniture, inside a marked article), and whether an article is marked."""
     lines: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool]] = []  # open elements and whether each is furniture
+    stack: list[tuple[str, bool, bool]] = []  # open elements, whether each is furniture and whether it is the article
     parts: list[str] = []
     state = {"furniture": 0, "article": 0, "links": 0, "in_link": 0}
     marked = False
@@ -81,11 +97,11 @@ def page_lines(html: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
         state["links"] = 0
 
     def pop() -> None:
-        tag, bad = stack.pop()
+        tag, bad, good = stack.pop()
         if tag in BLOCKS or bad:
             flush()
         state["furniture"] -= bad
-        state["article"] -= tag in ARTICLE and not bad
+        state["article"] -= good
         state["in_link"] -= tag == "a"
 
     at, n = 0, len(html)
@@ -103,7 +119,7 @@ def page_lines(html: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if any(t == tag for t, _ in stack):
+            if any(x[0] == tag for x in stack):
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -128,17 +144,17 @@ def page_lines(html: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
         if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCKS:
             continue
         bad = is_furniture(tag, m[3])
-        if tag in ARTICLE and not bad and not marked:
+        good = not bad and is_article(tag, m[3])
+        if good and not marked and tag in ARTICLE:
             while stack and state["furniture"] and not state["article"] and stack[-1][0] not in FURNITURE:
                 pop()  # a container that was never closed ends where the article begins
-            if not state["furniture"]:
-                marked = True
         if bad:
             flush()
         state["furniture"] += bad
-        state["article"] += tag in ARTICLE and not bad
+        marked = marked or good and not state["furniture"]
+        state["article"] += good
         state["in_link"] += tag == "a"
-        stack.append((tag, bad))
+        stack.append((tag, bad, good))
     flush()
     return lines, marked
 
@@ -178,13 +194,11 @@ def main_text(html: str | None) -> str:
     if marked:
         weights = [0 if bad or not inside else len(text) for text, _, bad, inside in lines]
         kept = spans(weights, 0)
-        chosen = [i for lo, hi in kept for i in range(lo, hi)]
     else:
         weights = [0 if bad or links >= LINK_SHARE * len(text) else len(text) - links for text, links, bad, _ in lines]
         largest = max((sum(weights[i : i + WINDOW]) for i in range(len(weights))), default=0)
         kept = spans(weights, SURGE_SHARE * largest)
-        best = max(kept, key=lambda s: (sum(weights[s[0] : s[1]]), -s[0]), default=(0, 0))
-        chosen = list(range(*best))
+    chosen = [i for lo, hi in kept for i in range(lo, hi)]
     return "\n".join(lines[i][0] for i in chosen if weights[i] > 0)
 
 

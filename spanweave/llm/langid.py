@@ -32,7 +32,7 @@ class Languages:
 
     def identify(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score from 0 to 1, rejected). A text that is null or has no letter is `und`, score 0, rejected."""
-        words = distinct_words(text) if text else b""
+        words = distinct_words(text) if text and any(c.isalpha() for c in text) else b""
         if not words or not self.names:
             return UNKNOWN, 0.0, True
         sizes = [float(size(c, words, CHUNK)) for c in self.coders]

@@ -180,6 +180,8 @@ cookies</div><!-- <p>no</p> --><article><h1>Head &amp; line</h1><p>One <b>bold</
         ("<nav>only</nav>", ""),
         ("<p>x<!-- never closed", "x"),
         ("<p hidden>no</p><p>yes</p>", "yes"),
+        ("<div class=top>Site name here</div><div id=content><p>Only this</p><div class='share-box'>Share</div></div><div>More on the site</div>", "Only this"),
+        ("<p>" + "first part " * 20 + "</p><div class=ad><p>a</p><p>b</p><p>c</p><p>d</p></div><p>" + "second part " * 20 + "</p>", " ".join(["first part"] * 20) + "\n" + " ".join(["second part"] * 20)),
     ],
 )
 def test_main_text(html, text):
@@ -310,6 +312,36 @@ def test_components_of_chains_and_hubs(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_over_many_tasks(spark, monkeypatch):
+    from spanweave.llm import components
+    from spanweave.llm.components import connected_components
+
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "400")
+        spark.conf.set("spark.sql.files.openCostInBytes", "400")
+        monkeypatch.setattr(components, "TASK_EDGES", 50)
+        rng = random.Random(2)
+        edges = [(i, i + 1) for i in range(300) if i % 50] + [(0, i) for i in range(500, 540)] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(260)]
+        rng.shuffle(edges)
+        up = {x: x for e in edges for x in e}
+
+        def find(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in edges:
+            i, j = sorted((find(a), find(b)))
+            up[j] = i
+        df = spark.createDataFrame(edges, "a long, b long").repartition(6)
+        got = {r["node"]: r["component"] for r in connected_components(df).collect()}
+        assert got == {x: find(x) for x in up if any(x in e and e[0] != e[1] for e in edges)}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 VEC = "vec_id long, embedding array<float>, label int"
 
 
