@@ -7,12 +7,13 @@ time exceeds the latest of these, so a document costs about its shingles plus m
 probability equal to their weighted Jaccard similarity.
 
 Candidates. Documents with equal multisets are one class, kept by its smallest id. Bands of components are hashed; classes that share a band key form a bucket.
-Buckets of the same members are taken once. Within a bucket the signatures, not all pairs, decide: a task emits a maximum spanning forest over pairs whose estimated similarity reaches
-`estimate`, or all such pairs if they are few. Buckets above BUCKET members are dealt in chunks, each chunk with the bucket's anchors; members that are not close to an anchor
-are set beside every chunk. So a group of any size costs linear work as long as its members are alike, and no pair is out of reach.
+Buckets of the same members are taken once. Within a bucket of at most BUCKET members the signatures, not all pairs, decide: a task emits a maximum spanning forest over pairs whose
+estimated similarity reaches `estimate` and whose sizes allow the similarity, or all such pairs if they are few. In a larger bucket each member is held against a few anchors and paired with the most alike; what is then still
+outside the component of the bucket's first anchor is set, in blocks, beside every chunk of the bucket. So a group of any size costs linear work as long as its members are
+alike, and no pair is out of reach.
 
-Verification. Candidate pairs are checked on the whole texts' multisets. Where a forest edge fails, the bucket is looked at again without it, until the edges that
-hold connect all that can be connected; a last round emits what candidates are left. Components of the verified edges are the classes.
+Verification. Candidate pairs are checked on the whole texts' multisets. Where a forest edge fails, the bucket comes together with its texts, and candidates that would still join two of
+its components are checked one after the other. Components of the verified edges are the classes.
 """
 
 from __future__ import annotations
@@ -23,15 +24,18 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, whole_row
+from .common import durable, text_batches, whole_row
 from .components import connected_components
 from .tokens import worker_store
 
-SHINGLE, BANDS, ROWS = 5, 26, 5
-COMPONENTS = BANDS * ROWS
-BUCKET, ANCHORS, CLOSE = 512, 4, 0.9
-#: Rounds that emit forests before the one that emits all remaining candidates; bytes of text handled at once by a task; words a worker keeps hashes of.
-FOREST_ROUNDS, BYTES_AT_ONCE, KEPT_WORDS = 3, 1_000_000, 150_000
+#: Bands use the first BANDS x ROWS components, estimates use all.
+SHINGLE, BANDS, ROWS, COMPONENTS = 5, 16, 4, 128
+#: Members of a bucket that one task compares; anchors of a larger one, in each of so many rounds.
+BUCKET, ANCHORS, ANCHOR_ROUNDS = 512, 4, 2
+#: Ids that are broadcast at most, 16 MB; beyond, the join shuffles.
+SENT_IDS = 2_000_000
+#: Bytes of text that a task handles at once, and words that a worker keeps hashes of.
+BYTES_AT_ONCE, KEPT_WORDS = 1_000_000, 150_000
 _U = np.uint64
 _MIX1, _MIX2, _STEP = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)
 
@@ -141,7 +145,7 @@ def slices_of(column: pa.Array, size: int):
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """docs: id, text. Rows: id, high and low half of the multiset's hash, brief (a byte of each component), keys (a long for each band). No row for a document without a shingle."""
+    """docs: id, text. Rows: id, n (shingles), high and low half of the multiset's hash, brief (a byte of each component), keys (a long for each band). No row for a document without a shingle."""
 
     def run(batches):
         known = worker_store().setdefault("word-hashes", {})
@@ -152,7 +156,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 doc, s, times = shingle_multisets(texts, known)
                 sig = signatures(doc, s, times, n)
                 some = np.flatnonzero(np.isfinite(sig[:, 0]))
-                hashes = []
+                n_shingles, hashes = np.bincount(doc, weights=times, minlength=n).astype(np.int64), []
                 for salt in (1, 2):
                     x = np.zeros(n, np.uint64)
                     np.add.at(x, doc, mix(mix(s + _U(salt)) + times.astype(np.uint64)))
@@ -162,15 +166,16 @@ def sketch(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(at, n).take(pa.array(some)),
+                        pa.array(n_shingles[some]),
                         pa.array(hashes[0]),
                         pa.array(hashes[1]),
                         pa.array([x.tobytes() for x in brief], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, len(some) * BANDS + 1, BANDS), pa.int32()), pa.array(keys.reshape(-1))),
                     ],
-                    names=["id", "high", "low", "brief", "keys"],
+                    names=["id", "n", "high", "low", "brief", "keys"],
                 )
 
-    return docs.mapInArrow(run, "id long, high long, low long, brief binary, keys array<long>")
+    return docs.mapInArrow(run, "id long, n long, high long, low long, brief binary, keys array<long>")
 
 
 def likeness(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -194,41 +199,60 @@ class Forest:
         return i != j
 
 
-def bucket_edges(ids: np.ndarray, parts: np.ndarray, briefs: np.ndarray, failed: set[tuple[int, int]], estimate: float, everything: bool) -> list[tuple[int, int]]:
-    """Candidate pairs of one bucket: between members in different parts, not tried before, likely alike.
-
-    All of them, if asked for or if they are at most four a member; else a maximum spanning forest of them over the parts.
-    """
-    n = len(ids)
-    found_i, found_j, found_e = [], [], []
-    for i in range(n - 1):
+def candidates_of(ids: np.ndarray, parts: np.ndarray, sizes: np.ndarray, briefs: np.ndarray, failed: set[tuple[int, int]], estimate: float, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of one bucket as row numbers, the most alike first: members in different parts, not tried before, likely alike, and of sizes that allow it."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i in range(len(ids) - 1):
         e = likeness(briefs[i], briefs[i + 1 :])
-        j = np.flatnonzero((e >= estimate) & (parts[i + 1 :] != parts[i]))
+        j = np.flatnonzero((e >= estimate) & (parts[i + 1 :] != parts[i]) & (np.minimum(sizes[i], sizes[i + 1 :]) >= similarity * np.maximum(sizes[i], sizes[i + 1 :])))
         if len(j):
-            found_i.append(np.full(len(j), i))
-            found_j.append(j + i + 1)
-            found_e.append(e[j])
-    if not found_i:
-        return []
-    a, b, e = np.concatenate(found_i), np.concatenate(found_j), np.concatenate(found_e)
-    small, large = np.minimum(ids[a], ids[b]).tolist(), np.maximum(ids[a], ids[b]).tolist()
+            found.append((np.full(len(j), i), j + i + 1, e[j]))
+    if not found:
+        return np.zeros(0, int), np.zeros(0, int)
+    a, b, e = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(-e, kind="stable")
+    a, b = a[order], b[order]
     if failed:
-        fresh = np.array([p not in failed for p in zip(small, large)])
-        a, b, e = a[fresh], b[fresh], e[fresh]
-        small, large = np.minimum(ids[a], ids[b]).tolist(), np.maximum(ids[a], ids[b]).tolist()
-    if everything or len(a) <= 4 * n:
-        return list(zip(small, large))
-    forest, out = Forest(n), []
-    where: dict[int, int] = {}
+        fresh = np.array([(min(p), max(p)) not in failed for p in zip(ids[a].tolist(), ids[b].tolist())])
+        a, b = a[fresh], b[fresh]
+    return a, b
+
+
+def parts_forest(parts: np.ndarray) -> Forest:
+    """Members of a part are one tree."""
+    forest, first = Forest(len(parts)), {}
     for i, p in enumerate(parts.tolist()):
-        forest.join(i, where.setdefault(p, i))
-    for x in np.argsort(-e, kind="stable").tolist():
-        if forest.join(int(a[x]), int(b[x])):
-            out.append((small[x], large[x]))
+        forest.join(i, first.setdefault(p, i))
+    return forest
+
+
+def bucket_edges(ids: np.ndarray, parts: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """What to verify first of one bucket's candidates: all, if they are at most two a part; else a maximum spanning forest of them over the parts."""
+    if len(a) > 2 * len(np.unique(parts)):
+        forest = parts_forest(parts)
+        tree = [forest.join(i, j) for i, j in zip(a.tolist(), b.tolist())]
+        a, b = a[tree], b[tree]
+    return list(zip(np.minimum(ids[a], ids[b]).tolist(), np.maximum(ids[a], ids[b]).tolist()))
+
+
+def exact_edges(ids: np.ndarray, parts: np.ndarray, a: np.ndarray, b: np.ndarray, texts: list[str], similarity: float, known: dict[str, int]) -> list[tuple[int, int]]:
+    """Links among one bucket's candidates that join parts not yet joined, each checked on whole texts."""
+    forest, out = parts_forest(parts), []
+    sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def bag(i: int) -> tuple[np.ndarray, np.ndarray]:
+        if i not in sets:
+            sets[i] = shingle_multisets([texts[i]], known)[1:]
+        return sets[i]
+
+    for i, j in zip(a.tolist(), b.tolist()):
+        if forest.find(i) != forest.find(j) and weighted_jaccard(bag(i), bag(j)) >= similarity:
+            forest.join(i, j)
+            out.append((min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))))
     return out
 
 
-def in_groups(batches, names: list[str]):
+def in_groups(batches):
     """Groups of consecutive rows with the same first column, out of sorted batches: one dictionary of arrays a group."""
     held = None
     for b in batches:
@@ -252,66 +276,158 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 
 def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """pairs (a, b) with whether the multisets of their whole texts overlap by `similarity`: columns a, b, holds."""
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    """pairs (a, b) with whether the multisets of their whole texts overlap by `similarity`: columns a, b, holds. Each text goes to the pairs that want it, which come together by one shuffle."""
+    wanted = durable(pairs, "bag-pairs")
+    sides = wanted.select(F.explode(F.array("a", "b")).alias("id"), "a", "b")
+    sent = texts.join(F.broadcast(sides) if wanted.count() <= SENT_IDS // 4 else sides, "id").select(F.xxhash64("a", "b").alias("g"), "a", "b", "id", "text")
 
     def run(batches):
         known = worker_store().setdefault("word-hashes", {})
-        for batch in batches:
-            holds = []
-            for i in range(0, batch.num_rows, 32):
-                ta, tb = (batch.column(c).slice(i, 32).to_pylist() for c in (2, 3))
-                n = len(ta)
-                doc, s, times = shingle_multisets(ta + tb, known)
-                cut = np.searchsorted(doc, np.arange(2 * n + 1))
-                sets = [(s[cut[x] : cut[x + 1]], times[cut[x] : cut[x + 1]]) for x in range(2 * n)]
-                holds += [weighted_jaccard(sets[x], sets[n + x]) >= similarity for x in range(n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(holds, pa.bool_())], names=["a", "b", "holds"])
-
-    return both.mapInArrow(run, "a long, b long, holds boolean")
-
-
-def buckets(classes: DataFrame) -> DataFrame:
-    """Groups to look into, from classes (id, brief, keys): rows (g, id).
-
-    Buckets of at most BUCKET members, those with equal members once; larger ones in chunks with their anchors, and with the members that are close to no anchor, in blocks, beside every chunk.
-    """
-    rows = durable(classes.select("id", F.explode("keys").alias("key")), "bag-rows")
+        a, b, holds = [], [], []
+        for t in in_groups(batches):
+            rows = list(zip(*(t.column(c).to_pylist() for c in (1, 2, 3))))
+            for pair in sorted({r[:2] for r in rows}):  # one, but for equal hashes
+                doc, s, times = shingle_multisets([t.column(4)[rows.index((*pair, side))].as_py() for side in pair], known)
+                cut = int(np.searchsorted(doc, 1))
+                a.append(pair[0])
+                b.append(pair[1])
+                holds.append(weighted_jaccard((s[:cut], times[:cut]), (s[cut:], times[cut:])) >= similarity)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(holds, pa.bool_())], names=["a", "b", "holds"])
+
+    return sent.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long, holds boolean")
+
+
+def buckets(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Buckets of classes (id, brief, keys): those of at most BUCKET members as rows (g, id), equal ones once; and the members of larger ones as rows (key, id, n), if there are any."""
+    rows = classes.select("id", F.explode("keys").alias("key"))
     sizes = durable(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bag-sizes")
     shared = rows.join(sizes, "key")
     small = shared.where(F.col("n") <= BUCKET).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # BUCKET ids at most
-    groups = small.select("ids").distinct().select(F.xxhash64(F.lit("small"), "ids").alias("g"), F.explode("ids").alias("id"))
-    large = shared.where(F.col("n") > BUCKET)
-    if sizes.where(F.col("n") > BUCKET).isEmpty():
-        return durable(groups, "bag-groups")
-    large = durable(large, "bag-large")
+    groups = small.select("ids").distinct().select(F.xxhash64("ids").alias("g"), F.explode("ids").alias("id"))
+    hot = sizes.where(F.col("n") > BUCKET)
+    large = None if hot.isEmpty() else durable(rows.join(hot, "key"), "bag-large")
+    return durable(groups, "bag-groups"), large
+
+
+def anchor_pairs(members: DataFrame, asking: DataFrame, briefs: DataFrame, turn: int, estimate: float) -> DataFrame:
+    """Candidate pairs (a, b) of each asking id with the most alike of its large buckets' anchors. Anchors are members with the least hashes of their ids, so buckets of the same members mostly have the same."""
     anchors = None
     for i in range(ANCHORS):
-        one = large.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key", F.lit(i)), "id")).getField("id").alias("anchor"))
+        one = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn * ANCHORS + i)), "id")).getField("id").alias("anchor"))
         anchors = one if anchors is None else anchors.unionAll(one)
-    briefs = classes.select("id", "brief")
-    anchors = durable(anchors.distinct().join(briefs.withColumnsRenamed({"id": "anchor", "brief": "anchor_brief"}), "anchor"), "bag-anchors")
-    held = anchors.groupBy("key").agg(F.collect_list("anchor_brief").alias("briefs"))  # ANCHORS briefs at most
-    seen = large.join(briefs, "id").join(held, "key").select("key", "id", "n", "brief", "briefs")
+    known = anchors.distinct().join(briefs.select(F.col("id").alias("anchor"), F.col("brief").alias("ab")), "anchor")
+    held = durable(known.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("anchor", "ab"))).alias("h")), "bag-anchors")  # ANCHORS briefs at most
+    sets = held.select("key", F.xxhash64("h").alias("set"), "h")
+    rows = asking.join(sets.select("key", "set"), "key").select("id", "set").distinct().join(briefs.select("id", "brief"), "id").join(sets.select("set", "h").dropDuplicates(["set"]), "set")
+
+    def nearest(batches):
+        for t in batches:
+            ids, out = t.column(0).to_pylist(), []
+            briefs_ = np.frombuffer(b"".join(t.column(1).to_pylist()), np.uint8).reshape(-1, COMPONENTS)
+            for i, one, others in zip(ids, briefs_, t.column(2).to_pylist()):
+                names = [o["anchor"] for o in others]
+                e = likeness(one, np.frombuffer(b"".join(o["ab"] for o in others), np.uint8).reshape(-1, COMPONENTS))
+                e[[n == i for n in names]] = -1
+                best = int(e.argmax())
+                if e[best] >= estimate:
+                    out.append((min(i, names[best]), max(i, names[best])))
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
+
+    return rows.select("id", "brief", "h").mapInArrow(nearest, "a long, b long").distinct()
+
+
+def leftover_tiles(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """Groups (g, id) of large buckets: members outside the component of their bucket's anchor, in blocks, beside each chunk of the bucket, both of about BUCKET / 2.
+
+    Buckets with the same anchor, the member with the least hash of its id, are taken together, as those of one group of copies mostly are.
+    """
+    half = BUCKET // 2
+    anchors = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(0)), "id")).getField("id").alias("family"))
+    family = members.join(anchors, "key").select("family", "id").distinct()
+    placed = family.join(parts.withColumnRenamed("node", "id"), "id", "left").select("family", "id", F.coalesce("component", "id").alias("part"))
+    main = placed.where("id = family").select("family", F.col("part").alias("main"))
+    placed = durable(placed.join(main, "family").select("family", "id", (F.col("part") != F.col("main")).alias("loose")), "bag-placed")
+    sizes = placed.groupBy("family").agg(F.ceil(F.count("*") / half).alias("chunks"), F.ceil(F.count_if("loose") / half).alias("blocks")).where("blocks > 0")
+    dealt = placed.join(sizes, "family").withColumns({"chunk": F.pmod(F.xxhash64("id"), F.col("chunks")), "block": F.pmod(F.xxhash64("id", F.lit("loose")), F.col("blocks"))})
+    beside = dealt.select("id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "family", "chunk")
+    loose = dealt.where("loose").select("id", "block", "family", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+    tiles = beside.unionByName(loose).select(F.xxhash64("family", "block", "chunk").alias("g"), "id")
+    return durable(tiles.distinct(), "bag-tiles")
+
+
+class Links:
+    """Verified links so far, the pairs that failed, and the components of the links."""
+
+    def __init__(self, briefs: DataFrame, texts: DataFrame, similarity: float, estimate: float):
+        self.briefs, self.texts, self.similarity, self.estimate = briefs, texts, similarity, estimate
+        self.good: DataFrame | None = None
+        self.failed: DataFrame | None = None
+        self.parts: DataFrame | None = None
+
+    def check(self, pairs: DataFrame) -> tuple[DataFrame, int]:
+        """Verify candidate pairs: what was found, and how many failed."""
+        checked = durable(verify(pairs, self.texts, self.similarity), "bag-checked")
+        good, bad = checked.where("holds").select("a", "b"), checked.where("NOT holds").select("a", "b")
+        self.good = good if self.good is None else self.good.unionAll(good)
+        self.failed = bad if self.failed is None else self.failed.unionAll(bad)
+        return checked, bad.count()
+
+    def connect(self) -> DataFrame:
+        self.parts = durable(connected_components(self.good), "bag-parts")
+        return self.parts
+
+    def settle(self, groups: DataFrame, *, forest: bool = True) -> None:
+        """Look into groups (g, id) until the links that hold connect all that can be connected: a forest of candidates first; groups where one of its edges failed then come
+        together with their texts, and every candidate that would still join two parts is checked there. Without forest, all groups do."""
+        busy = groups
+        if forest:
+            checked, n_failed = self.check(self.look(groups, exact=False).distinct())
+            if not n_failed:
+                return
+            self.connect()
+            again = checked.where("NOT holds").select(F.explode(F.array("a", "b")).alias("id")).distinct()
+            busy = groups.join(groups.join(again, "id", "left_semi").select("g").distinct(), "g", "left_semi")
+        found = durable(self.look(busy, exact=True), "bag-found")
+        self.good = self.good.unionAll(found)
+
+    def look(self, rows: DataFrame, *, exact: bool) -> DataFrame:
+        """Pairs (a, b) of groups (g, id): candidates to verify, or verified links. What is known of an id is brought together once, before it goes to its groups."""
+        state = rows.select("id").distinct().join(self.briefs, "id")
+        if self.parts is not None:
+            state = state.join(self.parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+        else:
+            state = state.withColumn("part", F.col("id"))
+        if self.failed is not None:
+            bad = self.failed.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("failed"))  # forest and anchor edges of one document that failed: a few a round
+            state = state.join(bad, "id", "left")
+        else:
+            state = state.withColumn("failed", F.lit(None).cast("array<long>"))
+        columns = ["g", "id", "part", "n", "brief", "failed"]
+        if exact:
+            state = state.join(self.texts.withColumnRenamed("text", "_t").dropDuplicates(["id"]), "id")
+            columns.append("_t")
+        rows = rows.join(state, "id")
+        similarity, estimate = self.similarity, self.estimate
+
+        def edges(batches):
+            known = worker_store().setdefault("word-hashes", {})
+            for t in in_groups(batches):
+                ids, parts, sizes = (t.column(c).to_numpy() for c in (1, 2, 3))
+                ids, first = np.unique(ids, return_index=True)
+                parts, sizes = parts[first], sizes[first]
+                if len(ids) < 2 or (parts == parts[0]).all():
+                    continue
+                brief = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint8).reshape(-1, COMPONENTS)[first]
+                failed = {(min(a, b), max(a, b)) for a, bs in zip(t.column(1).to_pylist(), t.column(5).to_pylist()) if bs for b in bs}
+                a, b = candidates_of(ids, parts, sizes, brief, failed, estimate, similarity)
+                if exact:
+                    pairs = exact_edges(ids, parts, a, b, t.column(6).take(pa.array(first)).to_pylist(), similarity, known)
+                else:
+                    pairs = bucket_edges(ids, parts, a, b)
+                if pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
-    def closeness(batches):
-        for b in batches:
-            brief = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, COMPONENTS)
-            best = [max((float(likeness(x, np.frombuffer(a, np.uint8)[None, :])[0]) for a in others), default=0.0) for x, others in zip(brief, b.column(4).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([x < CLOSE for x in best], pa.bool_())], names=["key", "id", "n", "loose"])
-
-    members = durable(
-        seen.mapInArrow(closeness, "key long, id long, n long, loose boolean").withColumn("chunks", F.ceil(F.col("n") / BUCKET)).withColumn("chunk", F.pmod(F.xxhash64("id", "key"), F.col("chunks"))),
-        "bag-members",
-    )
-    plain = members.select(F.xxhash64(F.lit("chunk"), "key", "chunk").alias("g"), "id")
-    chunks = members.select("key", "chunk").distinct()
-    beside = anchors.select("key", F.col("anchor").alias("id")).join(chunks, "key").select(F.xxhash64(F.lit("chunk"), "key", "chunk").alias("g"), "id")
-    loose = members.where("loose").withColumn("block", F.col("chunk"))  # blocks like the chunks, so of about BUCKET members
-    tiles = loose.select("key", "block").distinct().join(chunks, "key").withColumn("g", F.xxhash64(F.lit("tile"), "key", "block", "chunk"))
-    tiled = tiles.join(members.select("key", "chunk", "id"), ["key", "chunk"]).select("g", "id").unionAll(tiles.join(loose.select("key", "block", "id"), ["key", "block"]).select("g", "id"))
-    return durable(groups.unionAll(plain).unionAll(beside).unionAll(tiled).distinct(), "bag-groups")
+        return rows.select(*columns).repartition("g").sortWithinPartitions("g").mapInArrow(edges, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similarity: float = 0.8, estimate: float = 0.7) -> DataFrame:
@@ -323,57 +439,35 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """
     row = whole_row(docs)
     texts = docs.select(row.getField(key).cast("long").alias("id"), row.getField(text).alias("text")).where("id IS NOT NULL")
+    text_batches(docs.sparkSession)
     sketches = durable(sketch(texts), "bag-sketches")
-    twins = durable(sketches.groupBy("high", "low").agg(F.min("id").alias("id")), "bag-classes")
-    same = sketches.select("id", "high", "low").join(twins.withColumnRenamed("id", "rep"), ["high", "low"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    classes = durable(sketches.join(twins, ["id", "high", "low"]).select("id", "brief", "keys").dropDuplicates(["id"]), "bag-classes-rows")
-    groups = buckets(classes)
-    briefs = classes.select("id", "brief")
-    tried = verified = parts = None
-    for turn in range(FOREST_ROUNDS + 1):
-        everything = turn == FOREST_ROUNDS
-        rows = groups.join(briefs, "id")
-        if parts is None:
-            rows = rows.withColumn("part", F.col("id"))
-        else:
-            rows = rows.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
-            again = tried.where("NOT holds").select(F.explode(F.array("a", "b")).alias("id")).distinct()
-            busy = rows.join(again, "id", "left_semi").select("g").distinct()
-            rows = rows.join(busy, "g", "left_semi")
-        inputs = rows.select("g", "id", "part", "brief")
-        if tried is None:
-            inputs = inputs.withColumn("failed", F.lit(None).cast("array<long>"))
-        else:
-            bad = tried.where("NOT holds").groupBy("a").agg(F.collect_list("b").alias("failed"))  # tried pairs of one document: few forest edges, never a whole bucket
-            inputs = inputs.join(bad.withColumnRenamed("a", "id"), "id", "left").select("g", "id", "part", "brief", "failed")
-
-        def edges(batches, everything=everything):
-            for t in in_groups(batches, []):
-                if t.num_rows < 2:
-                    continue
-                ids = t.column(1).to_numpy()
-                order = np.argsort(ids, kind="stable")
-                parts_ = t.column(2).to_numpy()[order]
-                if (parts_ == parts_[0]).all():
-                    continue
-                brief = np.frombuffer(b"".join(t.column(3).to_pylist()), np.uint8).reshape(-1, COMPONENTS)[order]
-                failed = {(min(a, b), max(a, b)) for a, bs in zip(ids.tolist(), t.column(4).to_pylist()) if bs for b in bs}
-                pairs = bucket_edges(ids[order], parts_, brief, failed, estimate, everything)
-                if pairs:
-                    yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
-
-        found = inputs.repartition("g").sortWithinPartitions("g").mapInArrow(edges, "a long, b long").distinct()
-        checked = durable(verify(found, texts, similarity), "bag-checked")
-        summary = checked.agg(F.count("*").alias("n"), F.count_if("holds").alias("good")).first()
-        tried = checked if tried is None else tried.unionAll(checked)
-        good = checked.where("holds").select("a", "b")
-        verified = good if verified is None else verified.unionAll(good)
-        if summary["good"] == summary["n"]:
-            break
-        if not everything:
-            parts = durable(connected_components(verified), "bag-parts")
-    links = verified.unionAll(same)
-    found = durable(connected_components(links), "bag-components")
+    twins = durable(sketches.groupBy("high", "low").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "bag-twins")
+    copies = sketches.select("id", "high", "low").join(twins.where("copies > 1"), ["high", "low"])
+    same = durable(copies.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")), "bag-same")
+    reps = twins.select(F.col("rep").alias("id"), "high", "low")
+    classes = durable(sketches.join(reps, ["id", "high", "low"]).select("id", "n", "brief", "keys").dropDuplicates(["id"]), "bag-classes")
+    groups, large = buckets(classes)
+    wanted = groups.select("id") if large is None else groups.select("id").unionAll(large.select("id"))
+    wanted = durable(wanted.distinct(), "bag-wanted")
+    few = wanted.count() <= SENT_IDS
+    candidates = durable(texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi"), "bag-texts")
+    links = Links(classes.select("id", "n", "brief"), candidates, similarity, estimate)
+    if large is not None:
+        asking = large.select("key", "id")
+        for turn in range(ANCHOR_ROUNDS):
+            links.check(anchor_pairs(large, asking, links.briefs, turn, estimate))
+            linked = links.good.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+            asking = durable(asking.join(linked, "id", "left_anti").select("key", "id"), "bag-asking")
+            if asking.isEmpty():
+                break
+        links.connect()
+    links.settle(groups)
+    if large is not None:
+        tiles = leftover_tiles(large, links.connect())
+        if not tiles.isEmpty():
+            links.settle(tiles, forest=False)
+    found = connected_components(links.good.unionAll(same))
+    members = durable(found.where("node <> component"), "bag-members")
     packed = docs.select(whole_row(docs).alias("r")).withColumn("node", F.col("r").getField(key).cast("long"))
-    out = packed.join(found, "node", "left").withColumn("class_id", F.coalesce("component", "node"))
+    out = packed.join(F.broadcast(members) if members.count() <= SENT_IDS else members, "node", "left").withColumn("class_id", F.coalesce("component", "node"))
     return out.select("r", "class_id", F.coalesce(F.col("class_id") == F.col("node"), F.lit(True)).alias("kept"))
