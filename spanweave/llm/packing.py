@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, whole_row
+from .common import durable, text_batches, whole_row
 from .tokens import JOINED, PieceTable, joined_ids, load_tokenizer, slices, worker_store
 
 BUCKETS = 256
@@ -46,12 +46,9 @@ class WordIdsEncoder:
 
     def __call__(self, words: list[str]) -> list[bytes]:
         out: list = [None] * len(words)
-        plain, units = [], []
-        for i, w in enumerate(words):
-            stem = w.rstrip(string.punctuation)
-            if stem.isalpha():
-                plain.append(i)
-                units.append(1 if len(stem) == len(w) else 2)
+        stems = [w.rstrip(string.punctuation) for w in words]
+        plain = [i for i, stem in enumerate(stems) if stem.isalpha()]
+        units = [1 if len(stems[i]) == len(words[i]) else 2 for i in plain]
         for at in range(0, len(plain), JOINED):
             some = plain[at : at + JOINED]
             ids = joined_ids(self.tokenizer, " ".join([words[i] for i in some]))
@@ -116,6 +113,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, key: str = "doc_id", text: str
     Returns a row a piece: key, start, length, ids_crc32 (of the piece's ids as little-endian unsigned 32-bit numbers), doc_tokens (with the end id), sequence_id, offset (in the sequence, gapless from 0). A null text counts as
     empty and is the end id alone. Repeated rows are separate documents; null keys stay null. An empty table gives no rows. Other columns are ignored.
     """
+    text_batches(docs.sparkSession)
     row = whole_row(docs)
     narrow = docs.select(row.getField(key).alias("k"), F.coalesce(row.getField(text), F.lit("")).alias("t"))
     kind = narrow.schema["k"].dataType.simpleString()

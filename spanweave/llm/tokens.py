@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_row
+from .common import text_batches, whole_row
 
 #: Documents that tier one is fitted on and characters taken of each, its entries, and the entries of a worker's cache.
-SAMPLE_DOCS, SAMPLE_CHARS, FREQUENT, CACHED = 2000, 10_000, 50_000, 300_000
+SAMPLE_DOCS, SAMPLE_CHARS, FREQUENT, CACHED = 2000, 10_000, 50_000, 350_000
 #: Longest piece that is kept, and the length of the slices of a longer text.
 KEEP_CHARS, SLICE_CHARS = 64, 1 << 20
 #: Pieces that are encoded as one text.
@@ -82,17 +82,20 @@ class PieceTable:
         self.known, self.old = dict(frequent), {}
 
     def values(self, words: list[str]) -> list:
-        missing = set(words).difference(self.known)
-        if missing:
-            if len(self.known) + len(missing) > self.cached + len(self.frequent):
-                self.known, self.old = dict(self.frequent), self.known
-                missing = set(words).difference(self.known)
-            again = {w for w in missing if w in self.old}
-            self.known.update((w, self.old[w]) for w in again)
-            missing = list(missing - again)
-            self.known.update(zip(missing, self.encode(missing)))
-        found = list(map(self.known.__getitem__, words))
-        for w in missing:
+        found = list(map(self.known.get, words))
+        at = [i for i, v in enumerate(found) if v is None]
+        if not at:
+            return found
+        missing = {words[i] for i in at}
+        if len(self.known) + len(missing) > self.cached + len(self.frequent):
+            self.known, self.old = dict(self.frequent), self.known
+        new = {w: v for w in missing if (v := self.old.get(w)) is not None}
+        fresh = [w for w in missing if w not in new]
+        new.update(zip(fresh, self.encode(fresh)))
+        for i in at:
+            found[i] = new[words[i]]
+        self.known.update(new)
+        for w in fresh:
             if len(w) > KEEP_CHARS:
                 del self.known[w]
         return found
@@ -164,6 +167,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, key: str = "doc_id", t
     null text counts as empty: 0 bytes, 0 tokens. Null keys and repeated rows keep their rows; an empty table gives none; other columns are ignored.
     One narrow map over the scan: no shuffle.
     """
+    text_batches(docs.sparkSession)
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_lengths(docs, tokenizer_path, text))  # FREQUENT pieces of KEEP_CHARS characters at most
     row = whole_row(docs)
