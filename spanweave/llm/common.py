@@ -27,6 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def text_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let batches of whole texts to Python hold at most `rows` rows in this session, so that memory follows a few texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, rows)
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 

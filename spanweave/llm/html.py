@@ -16,7 +16,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import whole_row
+from .common import text_batches, whole_row
 
 WINDOW = 3
 #: A surge on a page without a marked article: this share of the largest window's text.
@@ -208,6 +208,7 @@ def extract_main_text(pages: DataFrame, *, key: str = "page_id", url: str = "url
     Null html counts as empty and gives an empty text; null keys and urls pass through; repeated rows stay; an empty table gives no rows; other columns
     are ignored. One narrow map over the scan.
     """
+    text_batches(pages.sparkSession)
     row = whole_row(pages)
     narrow = pages.select(row.getField(key).alias("k"), row.getField(url).alias("u"), row.getField(html).alias("h"))
 
