@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cigar, sequences, text
 from ..operators import alignments as aligned
-from ..operators import election, filters, graph, intervals, joins, kmers, matching, segments, sequence_runs, variants, windows
+from ..operators import election, filters, graph, intervals, joins, kmers, matching, placement, segments, sequence_runs, variants, windows
 from .tables import DAY, D, E, L, cells_sql, coalesce_sql, hits, letters, shipments, spans_of_days, table, union_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -849,3 +849,75 @@ def shared_coverage(spark, d):
 def weighted_means(spark, d):
     w = F.col("e") - F.col("s")
     return shipments(spark, d).groupBy("supp", "k").agg(F.expr("sum(CAST(round(prio * 100) AS BIGINT) * (e - s)) div sum(e - s)").alias("mean"), F.max(w).alias("maxsize"), F.min("s").alias("first"), F.max("e").alias("last"))
+
+
+# Names, tiers and placement
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'tap' WHEN 'view' THEN 'seen' ELSE event_type END AS event_type, 'u' || user_id || '#1#' || event_type AS contig FROM events")
+def renamed_contigs(spark, d):
+    names = spark.sql("SELECT * FROM VALUES ('click', 'tap'), ('view', 'seen') AS t(old, new)")
+    sample = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    plain = placement.prefixed(F.col("event_type"), sample, F.lit(1))
+    rows = table(spark, d, "events").withColumn("contig", F.when(F.col("event_id") % 2 == 0, plain).otherwise(F.col("event_type")))
+    rows = rows.withColumn("contig", placement.prefixed(F.col("contig"), sample, F.lit(1)))
+    return placement.renamed(rows, "event_type", names).select("event_id", "event_type", "contig")
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_custkey WHEN 1 THEN o_orderkey ELSE NULL END AS value FROM orders")
+def allele_values(spark, d):
+    values = F.concat_ws(",", F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string"), F.lit("."))
+    return table(spark, d, "orders").select("o_orderkey", placement.allele_value(values, F.col("o_orderkey") % 4 + 1).cast("long").alias("value"))
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderpriority FROM (SELECT *, min(o_orderpriority) OVER (PARTITION BY o_custkey) AS t FROM orders) z WHERE t = o_orderpriority")
+def candidate_tiers(spark, d):
+    return placement.first_tier(table(spark, d, "orders"), ["o_custkey"], "o_orderpriority").select("o_custkey", "o_orderkey", "o_orderpriority")
+
+
+@query(f"WITH {L}, r AS (SELECT supp, k, count(*) AS raw, CAST(max(e) - min(s) AS BIGINT) AS n FROM L GROUP BY supp, k), q AS (SELECT *, raw / n AS rate, max(raw / n) OVER (PARTITION BY supp) AS b FROM r) SELECT supp, k, raw, n FROM q WHERE rate > 0.5 * b")
+def best_regions(spark, d):
+    rows = spans_of_days(spark, d).groupBy("supp", "k").agg(F.count("*").alias("raw"), (F.max("e") - F.min("s")).alias("n"))
+    return placement.best_regions(rows, ["supp"], "raw", "n", 0.5).select("supp", "k", "raw", "n")
+
+
+@query(f"WITH {L} SELECT a.k, a.id, b.id AS id2 FROM L a JOIN L b ON a.k = b.k AND a.flag = 'R' AND b.flag = 'A' AND greatest(b.s - a.e, a.s - b.e, 0) <= 15")
+def within_distance(spark, d):
+    rows = shipments(spark, d)
+    b = rows.where("flag = 'A'").select("k", F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("id").alias("id2"))
+    return placement.within_distance(rows.where("flag = 'R'").select("k", "s", "e", "id"), b, ["k"], 15, bin_width=DAYS).select("k", "id", "id2")
+
+
+@query(f"WITH {L}, j AS (SELECT a.k, a.id, b.id AS id2, least(a.e, b.e) - greatest(a.s, b.s) AS overlap FROM L a JOIN L b ON a.k = b.k AND a.flag = 'R' AND b.flag = 'A' AND a.s < b.e AND b.s < a.e), r AS (SELECT *, row_number() OVER (PARTITION BY k, id ORDER BY overlap DESC, id2) AS r FROM j) SELECT k, id, id2, overlap FROM r WHERE r = 1")
+def most_overlap(spark, d):
+    rows = shipments(spark, d)
+    b = rows.where("flag = 'A'").select("k", F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("id").alias("id2"))
+    return placement.most_overlap(rows.where("flag = 'R'").select("k", "s", "e", "id"), b, ["k"], "id", "id2", bin_width=DAYS)
+
+
+@query(f"WITH {L}, u0 AS (SELECT * FROM L WHERE flag <> 'N'), {union_sql('u', 'u0', 'k')}, p AS (SELECT k, s AS ts, e AS te, CAST(sum(e - s) OVER (PARTITION BY k ORDER BY s) - (e - s) AS BIGINT) AS ls FROM u) SELECT a.k, a.id, ls + a.s - ts AS locus_s, ls + a.e - ts AS locus_e FROM L a JOIN p ON p.k = a.k AND ts <= a.s AND a.e <= te WHERE flag = 'N'")
+def rebased_events(spark, d):
+    rows = shipments(spark, d)
+    u = intervals.union(rows.where("flag <> 'N'"), ["k"]).withColumn("n", F.col("e") - F.col("s"))
+    pieces = windows.offsets(u, ["k"], "n", [F.col("s")]).select("k", F.col("s").alias("ts"), F.col("e").alias("te"), F.col("k").alias("locus"), F.col("at").alias("ls"))
+    return placement.rebased(rows.where("flag = 'N'").select("k", "id", "s", "e"), pieces, ["k"], bin_width=DAYS).select("k", "id", "locus_s", "locus_e")
+
+
+@query("WITH p AS (SELECT l_suppkey AS supp, date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) AS s, min(l_returnflag) AS t FROM lineitem GROUP BY 1, 2), q AS (SELECT *, s - row_number() OVER (PARTITION BY supp ORDER BY s) AS g FROM p) SELECT supp, min(s) AS s, max(s) + 1 AS e, string_agg(t, '' ORDER BY s) AS t FROM q GROUP BY supp, g")
+def joined_pieces(spark, d):
+    days = spans_of_days(spark, d).groupBy("supp", "s").agg(F.min("flag").alias("t"))
+    return placement.joined_pieces(days.withColumn("e", F.col("s") + 1), ["supp"], "t")
+
+
+@query("SELECT p_partkey, substr(p_name, 1, 1) || 'XY' || substr(p_name, 4) || p_brand || 'Z' AS bases FROM part")
+def edited_sequences(spark, d):
+    edit = lambda s, e, alt: F.struct(s.cast("long").alias("s"), e.cast("long").alias("e"), alt.alias("alt"))
+    n = F.length("p_name")
+    edits = F.array(edit(n, n, F.concat("p_brand", F.lit("Z"))), edit(F.lit(1), F.lit(3), F.lit("XY")))
+    return table(spark, d, "part").select("p_partkey", placement.edited(F.col("p_name"), edits).alias("bases"))
+
+
+@query("WITH a AS (SELECT l_suppkey AS supp, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), b AS (SELECT l_suppkey AS supp, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS n FROM lineitem WHERE l_returnflag = 'A' AND l_suppkey % 3 > 0 GROUP BY 1) SELECT coalesce(a.supp, b.supp) AS supp, coalesce(a.n, 0) AS a_n, coalesce(b.n, 0) AS b_n, coalesce(a.n, 0) - coalesce(b.n, 0) AS d_n FROM a FULL JOIN b ON a.supp = b.supp")
+def total_differences(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("supp"), F.col("l_quantity").cast("long").alias("n"), "l_returnflag")
+    return placement.total_differences(rows.where("l_returnflag = 'R'"), rows.where("l_returnflag = 'A' AND supp % 3 > 0"), ["supp"], ["n"])
