@@ -2,8 +2,8 @@
 
 A neighbour graph is started from random hyperplane trees and refined: the neighbours of each node, forward and reverse, are compared with each other, and every node keeps
 the best it has met, round after round, until few lists change. A list is saturated if its worst entry still reaches the threshold: the node may have more
-links than its list is long. Lists of saturated nodes are enlarged to the whole of their connected component over threshold edges, which is compared in tiles, so all links
-inside a component are counted exactly, and no pair is ever emitted. An audit compares a bounded sample of vectors with all others: while a link is found that leaves its component,
+links than its list is long. Links that are met but have no room in a list are kept as bridges, contracted to the smallest node they reach, so components are closed over every link met, not over
+lists alone. Each component is then compared in tiles, so all links inside a component are counted exactly, and no pair is ever emitted. An audit compares a bounded sample of vectors with all others: while a link is found that leaves its component,
 its edge is added and the graph is refined again from fresh trees.
 
 Equal vectors are one node with a weight. Groups of any size are dealt in chunks, so none meets in one task.
@@ -28,6 +28,7 @@ TREES, LEAF, LIST, ROUNDS, SETTLED, FLOOR = 12, 256, 12, 3, 0.01, 0.5
 #: Vectors of a tile, audited vectors, and starts at most.
 TILE, AUDIT, STARTS = 1024, 128, 3
 GROUP = 512
+EDGES = "a long, b long, s double, bridge boolean"
 
 
 def unit_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -55,6 +56,31 @@ def matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(rows), "<f8").reshape(len(rows), -1)
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges (a, b) as edges from each node to the smallest that they connect it to."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    low = np.arange(len(ids))
+    while (low[u] != low[v]).any():
+        least = np.minimum(low[u], low[v])
+        for x in (u, v):
+            np.minimum.at(low, low[x], least)
+        while (low[low] != low).any():
+            low = low[low]
+    moved = np.flatnonzero(low != np.arange(len(ids)))
+    return ids[moved], ids[low[moved]]
+
+
+def edge_rows(a: np.ndarray, b: np.ndarray, s: np.ndarray, bridge: bool) -> pa.Table:
+    return pa.table({"a": a, "b": b, "s": s, "bridge": np.full(len(a), bridge)})
+
+
+def bridges(a: np.ndarray, b: np.ndarray) -> pa.Table:
+    """Links that lists have no room for, as bridges: rows that keep what they connect. Their similarity is not stated."""
+    a, b = forest(a, b)
+    return edge_rows(a, b, np.full(len(a), -2.0), True)
+
+
 def best_of(ids: np.ndarray, sims: np.ndarray, length: int, floor: float):
     """(node, neighbour, similarity) of each row's best `length` entries from `floor` on; ids are those of rows and columns alike."""
     np.fill_diagonal(sims, -2)
@@ -73,7 +99,7 @@ def dealt(rows: DataFrame, group: str, size: int, name: str) -> DataFrame:
     return joined.withColumn("g", F.xxhash64(group, part)).drop(group, "_n")
 
 
-def start(nodes: DataFrame, n: int, seed: int, length: int, floor: float) -> DataFrame:
+def start(nodes: DataFrame, n: int, seed: int, length: int, floor: float, threshold: float) -> DataFrame:
     """Neighbour edges (a, b, s) among the leaves of random hyperplane trees; a leaf that is too full is dealt in parts."""
     bits = max(1, math.ceil(math.log2(max(2, n / LEAF))))
 
@@ -98,38 +124,47 @@ def start(nodes: DataFrame, n: int, seed: int, length: int, floor: float) -> Dat
     def compare(batches):
         for t in in_groups(batches):
             if t.num_rows > 1:
-                u = matrix(t.column(2))
-                a, b, s = best_of(t.column(1).to_numpy(), u @ u.T, length, floor)
+                u, ids = matrix(t.column(2)), t.column(1).to_numpy()
+                sims = u @ u.T
+                a, b, s = best_of(ids, sims, length, floor)
                 if len(a):
-                    yield from both_ways(a, b, s, length)
+                    yield from both_ways(a, b, s, length, threshold)
+                near = sims >= threshold
+                full = np.flatnonzero(near.sum(axis=1) > length)
+                if len(full):
+                    i, j = np.nonzero(near[full])
+                    yield from bridges(ids[full[i]], ids[j]).to_batches()
 
-    return placed.repartition("g").sortWithinPartitions("g").mapInArrow(compare, "a long, b long, s double")
+    return placed.repartition("g").sortWithinPartitions("g").mapInArrow(compare, EDGES)
 
 
-def both_ways(a: np.ndarray, b: np.ndarray, s: np.ndarray, length: int) -> list[pa.RecordBatch]:
-    """Edges in both directions, the best `length` of each node among them."""
-    return best_rows(pa.table({"a": np.concatenate([a, b]), "b": np.concatenate([b, a]), "s": np.concatenate([s, s])}), length).to_batches()
+def both_ways(a: np.ndarray, b: np.ndarray, s: np.ndarray, length: int, threshold: float) -> list[pa.RecordBatch]:
+    """Edges in both directions, the best `length` of each node among them, and bridges for the links left out."""
+    return best_rows(edge_rows(np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([s, s]), False), length, threshold).to_batches()
 
 
-def shortlist(edges: DataFrame, length: int) -> DataFrame:
-    """The best `length` neighbours of each node, of edges (a, b, s) that hold both directions. A node meets at most what the tasks' own lists hold."""
-    return edges.repartition("a").mapInArrow(lambda batches: whole(batches, length), "a long, b long, s double")
+def shortlist(edges: DataFrame, length: int, threshold: float) -> DataFrame:
+    """The best `length` neighbours of each node, of edges (a, b, s, bridge) that hold both directions, and all bridges. A node meets at most what the tasks' own lists hold."""
+    return edges.repartition("a").mapInArrow(lambda batches: whole(batches, length, threshold), EDGES)
 
 
-def whole(batches, length: int):
+def whole(batches, length: int, threshold: float):
     """Trim a partition that holds all edges of its nodes, compacting as it reads."""
     held = None
     for b in batches:
         t = pa.Table.from_batches([b])
         held = t if held is None else pa.concat_tables([held, t])
         if held.num_rows > 500_000:
-            held = best_rows(held, length)
+            held = best_rows(held, length, threshold)
     if held is not None and held.num_rows:
-        yield from best_rows(held, length).to_batches()
+        yield from best_rows(held, length, threshold).to_batches()
 
 
-def best_rows(t: pa.Table, length: int) -> pa.Table:
-    a, b, s = (t.column(i).to_numpy() for i in range(3))
+def best_rows(t: pa.Table, length: int, threshold: float) -> pa.Table:
+    """The best `length` rows of each node; links that are left out and the bridges of t, contracted, follow as bridges."""
+    a, b, s, bridge = (t.column(i).to_numpy() for i in range(4))
+    over_a, over_b = a[bridge], b[bridge]
+    a, b, s = a[~bridge], b[~bridge], s[~bridge]
     order = np.lexsort((b, -s, a))
     a, b, s = a[order], b[order], s[order]
     fresh = np.ones(len(a), bool)
@@ -138,17 +173,19 @@ def best_rows(t: pa.Table, length: int) -> pa.Table:
     firsts = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
     rank = np.arange(len(a)) - np.repeat(firsts, np.diff(np.append(firsts, len(a))))
     keep = rank < length
-    return pa.table({"a": a[keep], "b": b[keep], "s": s[keep]})
+    out = ~keep & (s >= threshold)
+    return pa.concat_tables([edge_rows(a[keep], b[keep], s[keep], False), bridges(np.concatenate([over_a, a[out]]), np.concatenate([over_b, b[out]]))])
 
 
-def refine(graph: DataFrame, nodes: DataFrame, round_: int, length: int, floor: float) -> DataFrame:
-    """New edges among the neighbours, forward and reverse, of each node: those that improve the list of one of their ends."""
+def refine(graph: DataFrame, nodes: DataFrame, round_: int, length: int, floor: float, threshold: float) -> DataFrame:
+    """New edges among the neighbours, forward and reverse, of each node: those that improve the list of one of their ends, and bridges for the other links met."""
     worst = graph.groupBy("a").agg(F.min("s").alias("w"), F.count("*").alias("k")).select(F.col("a").alias("id"), F.when(F.col("k") >= length, F.col("w")).otherwise(F.lit(floor)).alias("bar"))
     pairs = graph.select(F.col("a").alias("hub"), F.col("b").alias("id")).unionAll(graph.select(F.col("b").alias("hub"), F.col("a").alias("id"))).distinct()
     rows = dealt(pairs, "hub", 4 * length, f"round{round_}").join(worst, "id").join(nodes.select("id", "u"), "id").select("g", "id", "bar", "u")
 
     def compare(batches):
         out_a, out_b, out_s, n = [], [], [], 0
+        over_a, over_b, over = [], [], 0
         for t in in_groups(batches):
             if t.num_rows < 2:
                 continue
@@ -159,13 +196,24 @@ def refine(graph: DataFrame, nodes: DataFrame, round_: int, length: int, floor:
             out_b.append(ids[j])
             out_s.append(s[i, j])
             n += len(i)
+            full = np.flatnonzero(bar >= threshold)  # only between two of these can a link improve neither list
+            if len(full) > 1:
+                i, j = np.nonzero(s[np.ix_(full, full)] >= threshold)
+                over_a.append(ids[full[i]])
+                over_b.append(ids[full[j]])
+                over += len(i)
+            if over > 200_000:
+                yield from bridges(np.concatenate(over_a), np.concatenate(over_b)).to_batches()
+                over_a, over_b, over = [], [], 0
             if n > 50_000:
-                yield from both_ways(*(np.concatenate(x) for x in (out_a, out_b, out_s)), length)
+                yield from both_ways(*(np.concatenate(x) for x in (out_a, out_b, out_s)), length, threshold)
                 out_a, out_b, out_s, n = [], [], [], 0
+        if over:
+            yield from bridges(np.concatenate(over_a), np.concatenate(over_b)).to_batches()
         if n:
-            yield from both_ways(*(np.concatenate(x) for x in (out_a, out_b, out_s)), length)
+            yield from both_ways(*(np.concatenate(x) for x in (out_a, out_b, out_s)), length, threshold)
 
-    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(compare, "a long, b long, s double")
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(compare, EDGES)
 
 
 def audit(nodes: DataFrame, parts: DataFrame, threshold: float) -> tuple[DataFrame, int, int]:
@@ -229,22 +277,23 @@ def near_vectors(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embe
     nodes = durable(classes.select(F.col("rep").alias("id"), "d", "u", "n"), "nn-nodes")
     n, floor, edges, parts = nodes.count(), min(FLOOR, threshold), None, None
     for again in range(STARTS if n > 1 else 0):
-        begun = start(nodes, n, again, LIST, floor)
-        graph = durable(shortlist(begun if edges is None else begun.unionAll(edges), LIST), "nn-graph")
+        begun = start(nodes, n, again, LIST, floor, threshold)
+        graph = durable(shortlist(begun if edges is None else begun.unionAll(edges), LIST, threshold), "nn-graph")
         for round_ in range(ROUNDS):
-            found = refine(graph, nodes, round_, LIST, floor)
-            fresh = durable(shortlist(graph.unionAll(found), LIST), "nn-graph")
-            changed = fresh.join(graph, ["a", "b"], "left_anti").count()
-            graph, total = fresh, fresh.count()
+            lists = graph.where("NOT bridge")
+            found = refine(lists, nodes, round_, LIST, floor, threshold)
+            graph = durable(shortlist(graph.unionAll(found), LIST, threshold), "nn-graph")
+            fresh = graph.where("NOT bridge")
+            changed, total = fresh.join(lists, ["a", "b"], "left_anti").count(), fresh.count()
             if changed <= SETTLED * total:
                 break
-        edges = graph.where(F.col("s") >= threshold)
+        edges = graph.where(F.col("bridge") | (F.col("s") >= threshold))
         parts = durable(connected_components(edges.select("a", "b")), "nn-parts")
         links, whole_, inside = audit(nodes, parts, threshold)
         if whole_ == inside:
             break
-        missed = links.select("a", "b", F.lit(float(threshold)).alias("s"))
-        missed = missed.unionAll(missed.select("b", "a", "s"))
+        missed = links.select("a", "b", F.lit(float(threshold)).alias("s"), F.lit(False).alias("bridge"))
+        missed = missed.unionAll(missed.select("b", "a", "s", "bridge"))
         edges = durable(edges.unionAll(missed), "nn-edges")
         parts = durable(connected_components(edges.select("a", "b")), "nn-parts")
     row = whole_row(vectors)

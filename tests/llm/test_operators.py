@@ -403,3 +403,20 @@ def test_near_vectors_against_all_pairs(spark, monkeypatch):
         part = {i: min([part[i], *(part[j] for j in near.get(i, ()))]) for i in part}
     assert got == {i: (len(near.get(i, ())), part[i], part[i] == i) for i in part} | {None: (0, None, True)}
     assert neighbours.near_vectors(df.where("false")).count() == 0
+
+
+def test_links_beyond_full_lists_join_components(spark, monkeypatch):
+    from spanweave.llm import neighbours
+
+    monkeypatch.setattr(neighbours, "AUDIT", 0)  # so that nothing is repaired afterwards
+    rng = np.random.default_rng(3)
+    axes = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+    centres = axes[0], 0.94 * axes[0] + math.sqrt(1 - 0.94**2) * axes[1]
+    groups = [c + 0.1 * np.linalg.qr(rng.standard_normal((62, 20)))[0].T @ axes[2:] for c in centres]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.concatenate(groups))]
+    u = np.array([v / np.linalg.norm(v) for _, v in rows])
+    cosines = u @ u.T
+    assert cosines[:20, 20:].min() > 0.9 and cosines[:20, 20:].max() < cosines[:20, :20].min()
+    rows += [(100 + i, [float(x) for x in rng.standard_normal(64)]) for i in range(60)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).select("r.vec_id", "n_links", "component_id").collect()}
+    assert got == {i: (39, 0) if i < 40 else (0, i) for i, _ in rows}
