@@ -3,8 +3,9 @@
 A neighbour graph is started from random hyperplane trees and refined: the neighbours of each node, forward and reverse, are compared with each other, and every node keeps
 the best it has met, round after round, until few lists change. A list is saturated if its worst entry still reaches the threshold: the node may have more
 links than its list is long. Links that are met but have no room in a list are kept as bridges, contracted to the smallest node they reach, so components are closed over every link met, not over
-lists alone. Each component is then compared in tiles, so all links inside a component are counted exactly, and no pair is ever emitted. An audit compares a bounded sample of vectors with all others: while a link is found that leaves its component,
-its edge is added and the graph is refined again from fresh trees.
+lists alone. Each component is then compared in tiles, so all links inside a component are counted exactly, and no pair is ever emitted. The number of trees follows from the number of vectors, so that two vectors at the threshold share no leaf with a probability of MISS at most, and a leaf is compared whole, however
+full. An audit compares a sample of vectors, others at each start, with all others: while a link is found that leaves its component, it is added as a bridge and the graph is refined
+again from fresh trees; if that does not end, an error is raised.
 
 Equal vectors are one node with a weight. Groups of any size are dealt in chunks, so none meets in one task.
 """
@@ -23,10 +24,12 @@ from .common import durable, whole_row
 from .components import connected_components
 from .vectors import by_dimension, is_sound
 
-#: Trees of a start, vectors of a leaf, list length, rounds and the share of changed lists that ends them; edges below FLOOR lead to no near duplicate.
-TREES, LEAF, LIST, ROUNDS, SETTLED, FLOOR = 12, 256, 12, 3, 0.01, 0.5
-#: Vectors of a tile, audited vectors, and starts at most.
-TILE, AUDIT, STARTS = 1024, 128, 3
+#: Vectors of a leaf, list length, rounds and the share of changed lists that ends them; edges below FLOOR lead to no near duplicate.
+LEAF, LIST, ROUNDS, SETTLED, FLOOR = 256, 12, 3, 0.01, 0.5
+#: The probability that two vectors at the threshold share no leaf of a start, at any number of vectors, and trees of a start at most.
+MISS, MOST_TREES = 0.001, 256
+#: Vectors of a tile, audited vectors of a start up to AUDIT_FROM nodes (beyond, they grow with the root of the nodes), and starts at most.
+TILE, AUDIT, AUDIT_FROM, STARTS = 1024, 128, 4096, 8
 GROUP = 512
 EDGES = "a long, b long, s double, bridge boolean"
 
@@ -99,9 +102,24 @@ def dealt(rows: DataFrame, group: str, size: int, name: str) -> DataFrame:
     return joined.withColumn("g", F.xxhash64(group, part)).drop(group, "_n")
 
 
-def start(nodes: DataFrame, n: int, seed: int, length: int, floor: float, threshold: float) -> DataFrame:
-    """Neighbour edges (a, b, s) among the leaves of random hyperplane trees; a leaf that is too full is dealt in parts."""
-    bits = max(1, math.ceil(math.log2(max(2, n / LEAF))))
+def planting(n: int, threshold: float) -> tuple[int, int]:
+    """Planes of a tree and trees of a start: as many trees as let two vectors at the threshold share no leaf with a probability of MISS at most.
+
+    A plane parts them with the share of their angle in pi. Where that asks for more than MOST_TREES trees, they get fewer planes; without planes all nodes are one leaf.
+    """
+    together = 1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi
+    for bits in range(max(0, math.ceil(math.log2(max(1, n / LEAF)))), 0, -1):
+        share = together**bits
+        if share == 1:
+            return bits, 1
+        if share > 0 and (trees := math.ceil(math.log(MISS) / math.log1p(-share))) <= MOST_TREES:
+            return bits, trees
+    return 0, 1
+
+
+def plant(nodes: DataFrame, n: int, seed: int, threshold: float) -> DataFrame:
+    """(id, leaves, d, u): the leaves of each node in random hyperplane trees."""
+    bits, trees = planting(n, threshold)
 
     def leaves(batches):
         for t in batches:
@@ -109,17 +127,24 @@ def start(nodes: DataFrame, n: int, seed: int, length: int, floor: float, thresh
             for dim in np.unique(d):
                 at = pa.array(np.flatnonzero(d == dim))
                 u = matrix(t.column(2).take(at))
-                planes = np.random.default_rng([seed, int(dim)]).standard_normal((u.shape[1], TREES * bits))
-                signs = (u @ planes > 0).reshape(len(u), TREES, bits)
-                codes = (signs * (1 << np.arange(bits))).sum(axis=2) * TREES + np.arange(TREES)
+                planes = np.random.default_rng([seed, int(dim)]).standard_normal((u.shape[1], trees * bits))
+                signs = (u @ planes > 0).reshape(len(u), trees, bits)
+                codes = (signs * (1 << np.arange(bits))).sum(axis=2) * trees + np.arange(trees)
                 yield pa.RecordBatch.from_arrays(
-                    [t.column(0).take(at), pa.ListArray.from_arrays(pa.array(np.arange(0, len(u) * TREES + 1, TREES), pa.int32()), pa.array(codes.reshape(-1), pa.int64())), t.column(1).take(at), t.column(2).take(at)],
+                    [t.column(0).take(at), pa.ListArray.from_arrays(pa.array(np.arange(0, len(u) * trees + 1, trees), pa.int32()), pa.array(codes.reshape(-1), pa.int64())), t.column(1).take(at), t.column(2).take(at)],
                     names=["id", "leaves", "d", "u"],
                 )
 
-    coded = durable(nodes.select("id", "d", "u").mapInArrow(leaves, "id long, leaves array<long>, d int, u binary"), "nn-leaves")
-    rows = coded.select("id", F.explode("leaves").alias("leaf"), "d").withColumn("leaf", F.xxhash64("leaf", "d")).drop("d")
-    placed = dealt(rows, "leaf", GROUP, f"start{seed}").join(coded.select("id", "u"), "id").select("g", "id", "u")
+    return durable(nodes.select("id", "d", "u").mapInArrow(leaves, "id long, leaves array<long>, d int, u binary"), "nn-leaves")
+
+
+def leaf_rows(coded: DataFrame) -> DataFrame:
+    return coded.select("id", F.explode("leaves").alias("leaf"), "d").withColumn("leaf", F.xxhash64("leaf", "d")).drop("d")
+
+
+def start(coded: DataFrame, seed: int, length: int, floor: float, threshold: float) -> DataFrame:
+    """Neighbour edges (a, b, s, bridge) among the leaves of trees; a leaf that is too full is dealt in parts, which close_leaves() compares with each other."""
+    placed = dealt(leaf_rows(coded), "leaf", GROUP, f"start{seed}").join(coded.select("id", "u"), "id").select("g", "id", "u")
 
     def compare(batches):
         for t in in_groups(batches):
@@ -138,6 +163,40 @@ def start(nodes: DataFrame, n: int, seed: int, length: int, floor: float, thresh
     return placed.repartition("g").sortWithinPartitions("g").mapInArrow(compare, EDGES)
 
 
+def close_leaves(coded: DataFrame, parts: DataFrame, threshold: float) -> DataFrame | None:
+    """Bridges for all links inside leaves of more than GROUP nodes that leave their component so far; None if no leaf is that full.
+
+    A leaf is cut into pieces of about GROUP nodes: a component that fills one gets pieces of its own, the others share theirs. All pairs of pieces are compared but those
+    of one component, so a leaf that is one component costs nothing.
+    """
+    rows = leaf_rows(coded)
+    full = rows.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("leaf")
+    if full.isEmpty():
+        return None
+    placed = rows.join(full, "leaf", "left_semi").join(parts.withColumnRenamed("node", "id"), "id", "left").select("id", "leaf", F.coalesce("component", "id").alias("c"))
+    sizes = placed.groupBy("leaf", "c").agg(F.count("*").alias("n")).withColumn("shared", F.col("n") < GROUP).withColumn("own", F.when(F.col("shared"), 0).otherwise(F.col("c")))
+    kinds = durable(sizes.groupBy("leaf", "shared", "own").agg(F.ceil(F.sum("n") / GROUP).alias("chunks")), "nn-kinds")
+    piece = F.xxhash64("leaf", "shared", "own", "chunk")
+    pieces = kinds.select("leaf", "shared", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")).select("leaf", "shared", "own", piece.alias("p"))
+    others = pieces.select("leaf", F.col("shared").alias("shared2"), F.col("own").alias("own2"), F.col("p").alias("q"))
+    met = pieces.join(others, "leaf").where("p <= q AND (shared OR shared2 OR own <> own2)").select(F.xxhash64("p", "q").alias("g"), "p", "q")
+    sides = met.select("g", F.explode(F.when(F.col("p") == F.col("q"), F.array(F.struct(F.col("p").alias("p"), F.lit(True).alias("left"), F.lit(True).alias("right")))).otherwise(
+        F.array(F.struct(F.col("p").alias("p"), F.lit(True).alias("left"), F.lit(False).alias("right")), F.struct(F.col("q").alias("p"), F.lit(False).alias("left"), F.lit(True).alias("right")))
+    )).alias("x")).select("g", "x.*")
+    held = placed.join(sizes.select("leaf", "c", "shared", "own"), ["leaf", "c"]).join(kinds, ["leaf", "shared", "own"]).withColumn("chunk", F.pmod(F.xxhash64(F.lit("close"), "id"), F.col("chunks"))).select("id", piece.alias("p"))
+    tiles = held.join(sides, "p").join(coded.select("id", "u"), "id").select("g", "left", "right", "id", "u")
+
+    def compare(batches):
+        for t in in_groups(batches):
+            a, b = (np.flatnonzero(t.column(i).to_numpy(zero_copy_only=False)) for i in (1, 2))
+            if len(a) and len(b):
+                ids, u = t.column(3).to_numpy(), matrix(t.column(4))
+                i, j = np.nonzero(u[a] @ u[b].T >= threshold)
+                yield from bridges(ids[a[i]], ids[b[j]]).to_batches()
+
+    return tiles.repartition("g").sortWithinPartitions("g").mapInArrow(compare, EDGES)
+
+
 def both_ways(a: np.ndarray, b: np.ndarray, s: np.ndarray, length: int, threshold: float) -> list[pa.RecordBatch]:
     """Edges in both directions, the best `length` of each node among them, and bridges for the links left out."""
     return best_rows(edge_rows(np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([s, s]), False), length, threshold).to_batches()
@@ -216,29 +275,33 @@ def refine(graph: DataFrame, nodes: DataFrame, round_: int, length: int, floor:
     return rows.repartition("g").sortWithinPartitions("g").mapInArrow(compare, EDGES)
 
 
-def audit(nodes: DataFrame, parts: DataFrame, threshold: float) -> tuple[DataFrame, int, int]:
-    """Compare AUDIT nodes, by hash, with all: their links as edges (a, b), how many there are and how many lie inside a component."""
-    asked = nodes.orderBy(F.xxhash64(F.lit("audit"), "id")).limit(AUDIT).select("id", "d", "u").collect()  # AUDIT rows
-    sent = nodes.sparkSession.sparkContext.broadcast([(r["id"], r["d"], bytes(r["u"])) for r in asked])
+def audit(nodes: DataFrame, parts: DataFrame, n: int, again: int, threshold: float) -> DataFrame:
+    """Compare a sample of nodes, others at each start, with all: bridges (a, b) for their links that leave their component.
+
+    The sample grows with the root of n, so that its share of all pairs does not vanish and its vectors can be sent out (20,000 of 100,000,000).
+    """
+    size = math.ceil(AUDIT * max(1.0, math.sqrt(n / AUDIT_FROM)))
+    placed = durable(nodes.select("id", "d", "u").join(parts.withColumnRenamed("node", "id"), "id", "left").select("id", "d", "u", F.coalesce("component", "id").alias("c")), "nn-placed")
+    asked = placed.orderBy(F.xxhash64(F.lit(f"audit{again}"), "id")).limit(size).collect()  # `size` rows
+    sent = nodes.sparkSession.sparkContext.broadcast([(r["id"], r["d"], bytes(r["u"]), r["c"]) for r in asked])
 
     def scan(batches):
-        by: dict[int, tuple[list, list]] = {}
-        for i, d, u in sent.value:
-            by.setdefault(d, ([], []))[0].append(i)
-            by[d][1].append(np.frombuffer(u, "<f8"))
+        by: dict[int, tuple[list, list, list]] = {}
+        for i, d, u, c in sent.value:
+            for held, x in zip(by.setdefault(d, ([], [], [])), (i, np.frombuffer(u, "<f8"), c)):
+                held.append(x)
+        known = {dim: (np.array(ids), np.stack(vs), np.array(cs)) for dim, (ids, vs, cs) in by.items()}
         for t in batches:
-            d = t.column(1).to_numpy(zero_copy_only=False)
-            for dim, (ids, vs) in by.items():
-                at = np.flatnonzero(d == dim)
-                if len(at):
-                    other = t.column(0).to_numpy(zero_copy_only=False)[at]
-                    q, c = np.nonzero((np.stack(vs) @ matrix(t.column(2).take(pa.array(at))).T >= threshold) & (np.array(ids)[:, None] != other[None, :]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[q], pa.int64()), pa.array(other[c], pa.int64())], names=["a", "b"])
+            d, other, c = (t.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+            for dim, (ids, vs, cs) in known.items():
+                rows = np.flatnonzero(d == dim)
+                for at in np.array_split(rows, max(1, -(-len(rows) // 1000))):
+                    if len(at):
+                        near = (vs @ matrix(t.column(3).take(pa.array(at))).T >= threshold) & (cs[:, None] != c[at][None, :])
+                        i, j = np.nonzero(near)
+                        yield from bridges(ids[i], other[at[j]]).select(["a", "b"]).to_batches()
 
-    links = durable(nodes.select("id", "d", "u").mapInArrow(scan, "a long, b long"), "nn-audit")
-    pa_, pb = parts.withColumnsRenamed({"node": "a", "component": "ca"}), parts.withColumnsRenamed({"node": "b", "component": "cb"})
-    seen = links.join(pa_, "a", "left").join(pb, "b", "left").agg(F.count("*").alias("n"), F.count_if(F.col("ca") == F.col("cb")).alias("inside")).first()
-    return links, seen["n"], seen["inside"]
+    return durable(placed.select("d", "id", "c", "u").mapInArrow(scan, "a long, b long"), "nn-audit")
 
 
 def count_links(nodes: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
@@ -277,7 +340,8 @@ def near_vectors(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embe
     nodes = durable(classes.select(F.col("rep").alias("id"), "d", "u", "n"), "nn-nodes")
     n, floor, edges, parts = nodes.count(), min(FLOOR, threshold), None, None
     for again in range(STARTS if n > 1 else 0):
-        begun = start(nodes, n, again, LIST, floor, threshold)
+        coded = plant(nodes, n, again, threshold)
+        begun = start(coded, again, LIST, floor, threshold)
         graph = durable(shortlist(begun if edges is None else begun.unionAll(edges), LIST, threshold), "nn-graph")
         for round_ in range(ROUNDS):
             lists = graph.where("NOT bridge")
@@ -289,13 +353,17 @@ def near_vectors(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embe
                 break
         edges = graph.where(F.col("bridge") | (F.col("s") >= threshold))
         parts = durable(connected_components(edges.select("a", "b")), "nn-parts")
-        links, whole_, inside = audit(nodes, parts, threshold)
-        if whole_ == inside:
+        closing = close_leaves(coded, parts, threshold)
+        if closing is not None:
+            edges = durable(edges.unionAll(closing), "nn-edges")
+            parts = durable(connected_components(edges.select("a", "b")), "nn-parts")
+        missed = audit(nodes, parts, n, again, threshold)
+        if missed.isEmpty():
             break
-        missed = links.select("a", "b", F.lit(float(threshold)).alias("s"), F.lit(False).alias("bridge"))
-        missed = missed.unionAll(missed.select("b", "a", "s", "bridge"))
-        edges = durable(edges.unionAll(missed), "nn-edges")
-        parts = durable(connected_components(edges.select("a", "b")), "nn-parts")
+        edges = edges.unionAll(missed.select("a", "b", F.lit(-2.0).alias("s"), F.lit(True).alias("bridge")))
+    else:
+        if n > 1:
+            raise RuntimeError(f"an audit of near vectors still found missed links after {STARTS} starts")
     row = whole_row(vectors)
     packed = vectors.select(row.alias("r"), row.getField(key).cast("long").alias("id"))
     if parts is None:

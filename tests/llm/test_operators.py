@@ -420,3 +420,36 @@ def test_links_beyond_full_lists_join_components(spark, monkeypatch):
     rows += [(100 + i, [float(x) for x in rng.standard_normal(64)]) for i in range(60)]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).select("r.vec_id", "n_links", "component_id").collect()}
     assert got == {i: (39, 0) if i < 40 else (0, i) for i, _ in rows}
+
+
+def test_trees_keep_the_miss_probability():
+    from spanweave.llm import neighbours
+
+    for n in (2, 300, 10_256, 100_000, 1_000_000, 10_000_000, 1_000_000_000):
+        for threshold in (-1.0, 0.2, 0.5, 0.9, 0.99, 1.0):
+            bits, trees = neighbours.planting(n, threshold)
+            assert trees <= neighbours.MOST_TREES and (1 - (1 - math.acos(threshold) / math.pi) ** bits) ** trees <= neighbours.MISS
+
+
+def test_links_across_parts_of_a_full_leaf(spark, monkeypatch):
+    from spanweave.llm import neighbours
+
+    for name, value in {"AUDIT": 0, "GROUP": 8, "ROUNDS": 0, "LEAF": 1000}.items():  # one leaf, dealt in parts: no tree, list or audit finds what parts keep from each other
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(4)
+    pairs = [rng.standard_normal(48) for _ in range(60)]
+    rows = [(2 * i + k, [float(x) for x in v + 0.02 * k * rng.standard_normal(48)]) for i, v in enumerate(pairs) for k in range(2)]
+    rows += [(1000 + i, [float(x) for x in pairs[0] + 0.02 * rng.standard_normal(48)]) for i in range(30)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).select("r.vec_id", "n_links", "component_id").collect()}
+    assert got == {i: (31, 0) if i < 2 or i >= 1000 else (1, i - i % 2) for i, _ in rows}
+
+
+def test_an_audit_that_fails_at_last_is_an_error(spark, monkeypatch):
+    from spanweave.llm import neighbours
+
+    rows = [(i, [1.0, i / 1000]) for i in range(4)]
+    lost = lambda nodes, *_: nodes.sparkSession.createDataFrame([(0, 1)], "a long, b long")
+    monkeypatch.setattr(neighbours, "STARTS", 2)
+    monkeypatch.setattr(neighbours, "audit", lost)
+    with pytest.raises(RuntimeError):
+        neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).count()
