@@ -4,8 +4,9 @@ Markup is stripped into one line a block element; text in containers that are pa
 lines, text lengths are summed in sliding windows. Where the sum surges from its floor the article begins, where it dives back the article ends,
 and the weighted lines between are kept, all of them.
 
-A page that marks its article (by element, role, id or class) gives lines outside it no weight either, so any text in it is a surge. On other pages link
-text carries no weight, and a surge must reach a fifth of the page's largest window.
+A surge must exceed a fifth of the page's largest window. On a page that marks its article (by element, role, id or class), lines inside it weigh ten times those outside, and
+each kind has windows of its own: text outside is kept where a window of it holds more than twice the text of the article's largest window. If the page's largest window is
+the article's, its mark is confirmed and any text in it is a surge. Outside a marked article, link text carries no weight.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ from pyspark.sql import DataFrame
 from .common import text_batches, whole_row
 
 WINDOW = 3
-#: A surge on a page without a marked article: this share of the largest window's text.
+#: A surge: this share of the largest window's text.
 SURGE_SHARE = 0.2
-#: There, a line that is made of links by this share is no text.
+#: The weight of a character inside a marked article; one outside weighs 1.
+MARKED = 10
+#: Outside a marked article, a line that is made of links by this share is no text.
 LINK_SHARE = 0.8
 
 # Elements of HTML and names that pages commonly give to what is not the article.
@@ -190,16 +193,13 @@ def main_text(html: str | None) -> str:
     """The article of a page: its blocks joined by newlines. Null or empty html, and pages without text, give an empty text."""
     if not html:
         return ""
-    lines, marked = page_lines(html)
-    if marked:
-        weights = [0 if bad or not inside else len(text) for text, _, bad, inside in lines]
-        kept = spans(weights, 0)
-    else:
-        weights = [0 if bad or links >= LINK_SHARE * len(text) else len(text) - links for text, links, bad, _ in lines]
-        largest = max((sum(weights[i : i + WINDOW]) for i in range(len(weights))), default=0)
-        kept = spans(weights, SURGE_SHARE * largest)
-    chosen = [i for lo, hi in kept for i in range(lo, hi)]
-    return "\n".join(lines[i][0] for i in chosen if weights[i] > 0)
+    lines, _ = page_lines(html)
+    inner = [MARKED * len(text) if inside and not bad else 0 for text, _, bad, inside in lines]
+    outer = [0 if inside or bad or links >= LINK_SHARE * len(text) else len(text) - links for text, links, bad, inside in lines]
+    peaks = [max((sum(w[i : i + WINDOW]) for i in range(len(w))), default=0) for w in (inner, outer)]
+    bar = SURGE_SHARE * max(peaks)
+    chosen = {i for w, surge in ((inner, 0 if peaks[0] >= peaks[1] else bar), (outer, bar)) for lo, hi in spans(w, surge) for i in range(lo, hi) if w[i] > 0}
+    return "\n".join(lines[i][0] for i in sorted(chosen))
 
 
 def extract_main_text(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

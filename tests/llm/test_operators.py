@@ -453,3 +453,15 @@ def test_an_audit_that_fails_at_last_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "audit", lost)
     with pytest.raises(RuntimeError):
         neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).count()
+
+
+def test_windows_decide_on_marked_pages():
+    from spanweave.llm.html import main_text
+
+    body = [" ".join([w] * 60) for w in ("first", "second", "third")]
+    teaser = "<article><p>Read this too</p></article>"
+    assert main_text("<div>" + "".join(f"<p>{p}</p>" for p in body) + "</div>" + teaser) == "\n".join(body)
+    short = "".join(f"<p>{p}</p>" for p in body)
+    assert main_text(f"<div><p>Site name</p></div><article>{short}</article><div><p>More on the site</p></div>") == "\n".join(body)
+    ads = "<div class=ad><p>a</p><p>b</p><p>c</p><p>d</p></div>"
+    assert main_text(f"<article>{short}{ads}<p>The end</p></article>") == "\n".join([*body, "The end"])
