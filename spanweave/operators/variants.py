@@ -60,30 +60,37 @@ def trio_counts(flags: DataFrame, group: Sequence[str]) -> DataFrame:
     return counts.withColumn("fraction", F.round(F.col("either") / F.nullif(F.col("total"), F.lit(0)), 6))
 
 
-def levels(tree: DataFrame, node: str, parent: str, most: int = 64) -> DataFrame:
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once, so that rounds do not repeat one another."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+def levels(tree: DataFrame, node: str, parent: str) -> DataFrame:
     """The level of every node whose chain of parents ends at a root (a null parent, or one that is no node): node, level from 0.
 
-    Pointers double each round, so rounds follow the logarithm of the depth. Nodes on or below a cycle have no level.
+    Pointers double each round, so rounds follow the logarithm of the depth. While a chain is open, a round ends some; when none ends, only nodes on or below a cycle are left, which have no level.
     """
     nodes = tree.select(F.col(node).alias("node"), F.col(parent).alias("up")).dropDuplicates(["node"])
     known = nodes.select(F.col("node").alias("up")).withColumn("_k", F.lit(1))
-    now = nodes.join(known, "up", "left").select("node", F.when(F.col("_k").isNotNull(), F.col("up")).alias("up")).withColumn("level", F.when(F.col("up").isNotNull(), 1).otherwise(0).cast("long"))
-    for _ in range(most.bit_length()):
+    now = settled(nodes.join(known, "up", "left").select("node", F.when(F.col("_k").isNotNull(), F.col("up")).alias("up")).withColumn("level", F.when(F.col("up").isNotNull(), 1).otherwise(0).cast("long")))
+    before, open_ = None, now.where("up IS NOT NULL").count()
+    while open_ and open_ != before:
         above = now.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("level").alias("l2"))
-        now = now.join(above, "up", "left").select("node", F.col("up2").alias("up"), (F.col("level") + F.coalesce("l2", F.lit(0))).alias("level"))
+        now = settled(now.join(above, "up", "left").select("node", F.col("up2").alias("up"), (F.col("level") + F.coalesce("l2", F.lit(0))).alias("level")))
+        before, open_ = open_, now.where("up IS NOT NULL").count()
     return now.where("up IS NULL").select("node", "level")
 
 
-def with_descendants(tree: DataFrame, node: str, parent: str, chosen: DataFrame, most: int = 64) -> DataFrame:
-    """The chosen nodes and all below them: node. Rounds go down a level each and end when nothing is added."""
-    edges = tree.select(F.col(node).alias("node"), F.col(parent).alias("up"))
-    found = chosen.select(F.col(node).alias("node")).distinct()
-    new = found
-    for _ in range(most):
-        new = edges.join(new.select(F.col("node").alias("up")), "up", "left_semi").select("node").join(found, "node", "left_anti").distinct()
-        if new.isEmpty():
-            break
-        found = found.unionAll(new)
+def with_descendants(tree: DataFrame, node: str, parent: str, chosen: DataFrame) -> DataFrame:
+    """The chosen nodes and all below them: node. Steps double each round, so rounds follow the logarithm of the depth; they end when nothing is added, cycles or not."""
+    steps = settled(tree.select(F.col(node).alias("node"), F.col(parent).alias("up")).where("up IS NOT NULL").distinct())
+    found = settled(chosen.select(F.col(node).alias("node")).distinct())
+    before, n = None, found.count()
+    while n != before:
+        below = steps.join(found.select(F.col("node").alias("up")), "up", "left_semi").select("node")
+        found = settled(found.unionAll(below).distinct())
+        steps = settled(steps.join(steps.select(F.col("node").alias("up"), F.col("up").alias("up2")), "up").select("node", F.col("up2").alias("up")).distinct())
+        before, n = n, found.count()
     return found
 
 

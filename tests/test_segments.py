@@ -127,3 +127,10 @@ def test_nearest_distance_without_spans(spark):
 def test_hotspots_touching_the_window(spark):
     df = spark.createDataFrame([("k", x) for x in (0, 4, 9, 19, 100, 104, 110)], "k string, x long")
     assert [(r["s"], r["e"]) for r in windows.hotspots(df, ["k"], "x", 3, 10).collect()] == [(0, 10)]
+
+
+def test_levels_and_descendants_of_a_deep_chain(spark):
+    tree = spark.createDataFrame([(0, None)] + [(i, i - 1) for i in range(1, 400)] + [(1000 + i, 1000 + (i + 1) % 150) for i in range(150)], "node long, up long")
+    assert {r["node"]: r["level"] for r in variants.levels(tree, "node", "up").collect()} == {i: i for i in range(400)}
+    got = [r["node"] for r in variants.with_descendants(tree, "node", "up", tree.where("node IN (20, 1000)")).collect()]
+    assert sorted(got) == [*range(20, 400), *range(1000, 1150)]
