@@ -572,6 +572,14 @@ def connected_components(spark, d):
     return graph.components(pairs)
 
 
+@query()
+def connected_components_whole(spark, d):
+    """As connected_components, over the pairs of all consecutive orders. The recursive SQL is too slow for them, so tests compare with a plain version."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    b = o.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("o_custkey").alias("b"), "o_orderstatus", "o_orderpriority")
+    return graph.components(o.join(b, ["o_orderkey", "o_orderstatus", "o_orderpriority"]).select(F.col("o_custkey").alias("a"), "b").where("a <> b"))
+
+
 # Segmentations with state
 
 

@@ -134,3 +134,19 @@ def test_levels_and_descendants_of_a_deep_chain(spark):
     assert {r["node"]: r["level"] for r in variants.levels(tree, "node", "up").collect()} == {i: i for i in range(400)}
     got = [r["node"] for r in variants.with_descendants(tree, "node", "up", tree.where("node IN (20, 1000)")).collect()]
     assert sorted(got) == [*range(20, 400), *range(1000, 1150)]
+
+
+def test_components_of_all_consecutive_orders(spark):
+    from spanweave.plans.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    orders = {}
+    for r in spark.read.parquet(f"{d}/orders.parquet").collect():
+        orders.setdefault((r["o_orderkey"], r["o_orderstatus"], r["o_orderpriority"]), set()).add(r["o_custkey"])
+    pairs = {(a, b) for (k, *rest), left in orders.items() for a in left for b in orders.get((k + 1, *rest), ()) if a != b}
+    label = {x: x for p in pairs for x in p}
+    while any(label[a] != label[b] for a, b in pairs):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r["node"]: r["component"] for r in QUERIES["connected_components_whole"](spark, d).collect()}
+    assert got == label and len(got) > QUERIES["connected_components"](spark, d).count()
