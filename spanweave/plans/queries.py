@@ -811,6 +811,16 @@ def missing_links(spark, d):
     return filters.missing_links(walks(spark, d), known, ["l_orderkey"], "l_suppkey", "step")
 
 
+@query()
+def missing_links_whole(spark, d):
+    """As missing_links, with links from the steps of all walks: those of a walk that no other walk takes are missing. No pairs of all rows of a part are made."""
+    rows = walks(spark, d)
+    following = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("step"))
+    taken = rows.select("l_orderkey", F.col("l_partkey").alias("x"), following.alias("y")).where("y IS NOT NULL").select("l_orderkey", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    known = taken.groupBy("a", "b").agg(F.min("l_orderkey").alias("first"), F.max("l_orderkey").alias("last")).where("first <> last").select("a", "b")
+    return filters.missing_links(rows, known, ["l_orderkey"], "l_partkey", "step")
+
+
 @query("SELECT p_name, count(DISTINCT p_brand) AS kinds FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) > 1")
 def conflicting_names(spark, d):
     return filters.conflicting_names(table(spark, d, "part"), "p_name", "p_brand")

@@ -150,3 +150,20 @@ def test_components_of_all_consecutive_orders(spark):
             label[a] = label[b] = min(label[a], label[b])
     got = {r["node"]: r["component"] for r in QUERIES["connected_components_whole"](spark, d).collect()}
     assert got == label and len(got) > QUERIES["connected_components"](spark, d).count()
+
+
+def test_missing_links_know_the_steps_of_all_other_walks(spark):
+    from spanweave.plans.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    walks = {}
+    for r in spark.read.parquet(f"{d}/lineitem.parquet").collect():
+        walks.setdefault(r["l_orderkey"], []).append((r["l_linenumber"], r["l_partkey"], r["l_suppkey"], r["l_shipdate"], r["l_quantity"], r["l_extendedprice"]))
+    taken = {}
+    for walk, steps in walks.items():
+        parts = [s[1] for s in sorted(steps)]
+        for a, b in zip(parts, parts[1:]):
+            taken.setdefault((min(a, b), max(a, b)), []).append(walk)
+    got = {(r["a"], r["b"]): r["n"] for r in QUERIES["missing_links_whole"](spark, d).collect()}
+    assert got == {pair: len(by) for pair, by in taken.items() if len(set(by)) == 1}
+    assert 0 < len(got) < len(taken)
