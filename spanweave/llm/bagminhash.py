@@ -24,7 +24,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, text_batches, whole_row
+from .common import durable, scoped, text_batches, whole_row
 from .components import connected_components
 from .tokens import worker_store
 
@@ -430,6 +430,7 @@ class Links:
         return rows.select(*columns).repartition("g").sortWithinPartitions("g").mapInArrow(edges, "a long, b long")
 
 
+@scoped
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similarity: float = 0.8, estimate: float = 0.7) -> DataFrame:
     """The class of near duplicates of every document: r (the row), class_id (the smallest id that links reach) and kept (whether the row stands for its class).
 
@@ -467,7 +468,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         if not tiles.isEmpty():
             links.settle(tiles, forest=False)
     found = connected_components(links.good.unionAll(same))
-    members = durable(found.where("node <> component"), "bag-members")
+    members = durable(found.where("node <> component"), "bag-members", keep=True)
     packed = docs.select(whole_row(docs).alias("r")).withColumn("node", F.col("r").getField(key).cast("long"))
     out = packed.join(F.broadcast(members) if members.count() <= SENT_IDS else members, "node", "left").withColumn("class_id", F.coalesce("component", "node"))
     return out.select("r", "class_id", F.coalesce(F.col("class_id") == F.col("node"), F.lit(True)).alias("kept"))

@@ -16,12 +16,14 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, whole_row
+from .common import durable, scoped, whole_row
 
 BLOCKS = 4096
 #: Exponents tried in one pass over the sources; with the ends they cut the interval into 16.
 PROBES = 15
 PASSES = 7
+#: Sources whose plan is sent to all tasks, 64 bytes each; of more, the join shuffles.
+SENT_SOURCES = 200_000
 WORD = "[^ \\t\\r\\n]+"
 
 
@@ -79,6 +81,7 @@ def bisect_exponent(totals: DataFrame, *, max_repeat: float | None = None, entro
     return round(hi if max_repeat is not None else lo, 6)
 
 
+@scoped
 def mix(
     docs: DataFrame,
     *,
@@ -132,9 +135,10 @@ def mix(
     fits = (F.col("rest") > 0) & (F.col("before") * 2 + F.col("in_block") <= F.col("rest") * 2)
     cut = ranked.groupBy("sk").agg(F.coalesce(F.max(F.when(fits, F.col("rank"))), F.lit(-1)).alias("last"))
     passes = F.when(F.col("quota") > 0, F.col("quota") / F.col("n_tokens")).otherwise(1.0)
-    plan = durable(budgets.join(cut, "sk").select("sk", "weight", "epochs", "last", passes.alias("passes")), "mix-plan")
+    plan = durable(budgets.join(cut, "sk").select("sk", "weight", "epochs", "last", passes.alias("passes")), "mix-plan", keep=True)
     once_more = (permuted(F.col("block"), F.col("epochs")) <= F.col("last")).cast("int")
-    drawn = measured.join(plan, "sk").withColumn("copies", F.col("epochs") + once_more)
+    small = plan.count() <= SENT_SOURCES
+    drawn = measured.join(F.broadcast(plan) if small else plan, "sk").withColumn("copies", F.col("epochs") + once_more)
     copies = drawn.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)))
     place = (permuted(F.col("block"), F.col("copy")) + F.col("inner") / F.lit(float(1 << 28))) / F.lit(float(BLOCKS))
-    return copies.select("r", F.col("r").getField(source).alias("source"), "n_tokens", "weight", F.col("block").cast("int"), "copy", F.floor((F.col("copy") + place) / F.col("passes") * F.lit(1e9)).cast("long").alias("mix_rank"))
+    return copies.select("r", F.col("r").getField(source).alias("source"), "n_tokens", "weight", F.col("block").cast("int"), "copy", F.floor((F.col("copy") + place) / F.col("passes") * F.lit(1e12)).cast("long").alias("mix_rank"))

@@ -18,7 +18,7 @@ ORACLE = {
   d AS (SELECT t.*, e.weight, e.passes, e.epochs + CASE WHEN {PERMUTED.format(b='t.block', e='e.epochs')} <= l.last THEN 1 ELSE 0 END AS copies FROM t JOIN e USING (source) JOIN l USING (source)),
   x AS (SELECT *, unnest(range(copies)) AS copy FROM d)
 SELECT doc_id, source, CAST(n AS BIGINT) AS n_tokens, weight, CAST(block AS INTEGER) AS block, CAST(copy AS INTEGER) AS copy,
-  CAST(floor((copy + ({PERMUTED.format(b='block', e='copy')} + inner_ / 268435456.0) / 4096.0) / passes * 1e9) AS BIGINT) AS mix_rank FROM x""",
+  CAST(floor((copy + ({PERMUTED.format(b='block', e='copy')} + inner_ / 268435456.0) / 4096.0) / passes * 1e12) AS BIGINT) AS mix_rank FROM x""",
     "op8_near_vectors": f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE {SOUND}),
   l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
   r AS (SELECT a AS node, a AS seen FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.seen),

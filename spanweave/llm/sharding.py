@@ -18,7 +18,7 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, rows_literal, whole_row
+from .common import durable, rows_literal, scoped, whole_row
 
 RING_CELLS = 1 << 16
 ARC_PARTS = 8
@@ -73,6 +73,7 @@ def sweep(counts: dict[tuple[int, int], int], owners: list[int], room: list[int]
     return out
 
 
+@scoped
 def ring_shards(docs: DataFrame, n_shards: int, *, key: str = "doc_id", text: str = "text", vnodes: int = 64, slack: float = 0.0) -> DataFrame:
     """Place each row of docs on one shard by the ring; slack 0 makes row counts differ by one at most.
 
@@ -96,6 +97,7 @@ def ring_shards(docs: DataFrame, n_shards: int, *, key: str = "doc_id", text: st
     placed = durable(
         hashed.join(F.broadcast(ring), "cell").withColumn("part", F.pmod(F.xxhash64("h", "size", "text_crc32"), F.lit(ARC_PARTS)).cast("int")).drop("cell"),  # RING_CELLS rows at most
         "ring-placed",
+        keep=True,
     )
     counts = {(x["arc"], x["part"]): x["n"] for x in placed.groupBy("arc", "part").agg(F.count("*").alias("n")).collect()}  # shards x vnodes x ARC_PARTS rows at most
     cuts = sweep(counts, owners, capacities(sum(counts.values()), n_shards, slack))

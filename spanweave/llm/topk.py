@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, whole_row
+from .common import durable, scoped, whole_row
 from .vectors import by_dimension, is_sound
 
 QUERY_BLOCK, DATA_CHUNK = 16384, 8192
@@ -122,6 +122,7 @@ def dual_search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data
     return computed
 
 
+@scoped
 def exact_topk(vectors: DataFrame, is_query: Column, *, key: str = "vec_id", vector: str = "embedding", k: int = 10, scale: float = 1024.0) -> DataFrame:
     """The k rows with the highest integer inner product for each query row.
 
@@ -182,7 +183,7 @@ def exact_topk(vectors: DataFrame, is_query: Column, *, key: str = "vec_id", vec
                 yield pa.RecordBatch.from_arrays([pa.array(query_ids[q], pa.int64()), pa.array(best.ids[q, c], pa.int64()), pa.array(best.scores[q, c].astype("int64"), pa.int64())], names=["query_id", "id", "score"])
 
         found = ints.mapInArrow(search, schema)
-        parts.append(durable(found, "topk-block") if blocks > 1 else found)
+        parts.append(durable(found, "topk-block", keep=True) if blocks > 1 else found)
     every = parts[0]
     for p in parts[1:]:
         every = every.unionAll(p)
