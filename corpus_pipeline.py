@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanweave.llm.common import durable, table, unpacked
+from spanweave.llm.common import durable, scratch, table, unpacked
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,5 +57,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark):
+            docs = durable(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
