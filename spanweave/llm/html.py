@@ -1,7 +1,7 @@
 """Main text of web pages by the line-block distribution.
 
-Markup is stripped into one line a block element; text in containers that are page furniture by their element, role, class or id carries no weight. Over the
-lines, text lengths are summed in sliding windows. Where the sum surges from its floor the article begins, where it dives back the article ends,
+Markup is stripped into one line a block element; text in containers that are page furniture by their element, role, class or id carries no weight, and less of it where a name is furniture only in
+part ("related-work", outside a marked article). Over the lines, text lengths are summed in sliding windows. Where the sum surges from its floor the article begins, where it dives back the article ends,
 and the weighted lines between are kept, all of them.
 
 A surge must exceed a fifth of the page's largest window. On a page that marks its article (by element, role, id or class), lines inside it weigh ten times those outside, and
@@ -12,6 +12,7 @@ the article's, its mark is confirmed and any text in it is a surge. Outside a ma
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -31,43 +32,68 @@ LINK_SHARE = 0.8
 DROPPED = {"script", "style", "noscript", "template", "svg", "math", "head", "title", "iframe", "object", "canvas", "audio", "video", "select", "textarea", "button"}
 FURNITURE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "form", "menu", "menubar", "note"}
-NAMES = set(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login "
-    "sidebar aside menu nav navbar navigation breadcrumb breadcrumbs toolbar header masthead topbar footer comment comments commentlist disqus replies reply respond share sharing social related recommended "
-    "widget widgets popup modal overlay pagination pager search copyright disclaimer".split()
+ADVERTS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion"}
+NAMES = ADVERTS | set(
+    "banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login sidebar aside menu nav navbar navigation breadcrumb breadcrumbs toolbar header masthead topbar footer "
+    "comment comments commentlist disqus replies reply respond share sharing social related recommended widget widgets popup modal overlay pagination pager search copyright disclaimer".split()
 )
+# What names of page furniture are compounded with; any other word beside them speaks for a topic or a layout.
+BESIDE = set(
+    "site page main global top bottom left right inner outer box bar list container wrapper wrap panel block area region section group item items link links button buttons icon icons title heading count "
+    "form field input text body content post posts article articles story stories slot unit zone thread user reader primary secondary mobile desktop sticky fixed module component row col column js the".split()
+)
+#: Weight of text under a name that is furniture only in part.
+DOUBTED = 0.25
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+TEXTS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "pre", "blockquote", "figcaption", "span", "em", "strong", "b", "i", "code"}
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math")
 ARTICLE = {"article", "main"}
 # Ids and classes that pages commonly give to the container of their article.
 ARTICLE_IDS = {"main", "content", "article", "main-content", "maincontent", "article-body", "post"}
 ARTICLE_CLASSES = {"article", "article-body", "article-content", "main-content", "post-content", "post-body", "entry-content", "story-body"}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+_OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+_INSIDE = re.compile(r"(?:[^'\"<>]++|\"[^\"]*\"|'[^']*')*+")
+_PLAIN = re.compile(r"[^<>]*")
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 _SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def is_furniture(tag: str, attrs: str) -> bool:
-    """Whether an element holds what is not the article, by its name, role, class, id or hiddenness."""
+def name_weight(value: str, names: set[str]) -> float:
+    """What a class or id leaves of the weight of its text: nothing, if one of its names is furniture throughout; less, if one is in part."""
+    least = 1.0
+    for name in value.split():
+        words = {w.lower() for w in _WORD.findall(name)}
+        if not words.isdisjoint(names):
+            least = min(least, 0.0 if words <= names | BESIDE else DOUBTED)
+    return least
+
+
+def tag_weight(tag: str, attrs: str, inside: bool) -> float:
+    """What an element leaves of the weight of its text, by its name, role, class, id or hiddenness: 0 for page furniture.
+
+    Inside a marked article, a name that is furniture only in part says nothing, and single blocks of text are furniture only as adverts.
+    """
     if tag in FURNITURE or tag in DROPPED:
-        return True
+        return 0.0
     if not attrs.strip() or tag in ("html", "body"):
-        return False
+        return 1.0
+    weight = 1.0
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), unescape(m[2] or m[3] or m[4] or "")
         if name == "role" and value.strip().lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return 0.0
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-        if name in ("class", "id") and tag not in ("article", "main") and not NAMES.isdisjoint(w.lower() for w in _WORD.findall(value)):
-            return True
-        if name in ("class", "id") and tag == "article" and re.search(r"comment|repl(y|ies)|related|promo", value, re.I):
-            return True
-    return False
+            return 0.0
+        if name in ("class", "id"):
+            if tag == "article" and re.search(r"comment|repl(y|ies)|related|promo", value, re.I):
+                return 0.0
+            if tag not in ("article", "main"):
+                weight = min(weight, name_weight(value, ADVERTS if inside and tag in TEXTS else NAMES))
+    return 1.0 if inside and weight > 0 else weight
 
 
 def is_article(tag: str, attrs: str) -> bool:
@@ -83,86 +109,138 @@ def is_article(tag: str, attrs: str) -> bool:
     return False
 
 
-def page_lines(html: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
-    """Lines of a page in order: (text, characters of links, furniture, inside a marked article), and whether an article is marked."""
-    lines: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements, whether each is furniture and whether it is the article
-    parts: list[str] = []
-    state = {"furniture": 0, "article": 0, "links": 0, "in_link": 0}
-    marked = False
+class Tags:
+    """The tags of a page, read in one pass.
 
-    def flush() -> None:
-        if parts:
-            text = " ".join(unescape("".join(parts)).split())
-            if text:
-                lines.append((text, state["links"], state["furniture"] > 0, state["article"] > 0))
-            parts.clear()
-        state["links"] = 0
-
-    def pop() -> None:
-        tag, bad, good = stack.pop()
-        if tag in BLOCKS or bad:
-            flush()
-        state["furniture"] -= bad
-        state["article"] -= good
-        state["in_link"] -= tag == "a"
-
-    at, n = 0, len(html)
-    while at < n:
-        m = _TAG.search(html, at)
-        text = html[at : m.start()] if m else html[at:]
+    A tag ends at the first > outside quotes. One that is never closed ends at the next <, if it reads like a tag (attributes, or nothing beyond its name), and is text otherwise; a quote that is never
+    closed ends at the first >. Once a quote was found unclosed, quotes are not heeded any more, so that no stretch is read again and again.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.quotes, self.ends = html, True, True
+
+    def end_of(self, sign: str, at: int) -> int:
+        found = self.html.find(sign, at)
+        return found if found >= 0 else len(self.html)
+
+    def after(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, closing, name, attributes) of the next tag; comments and declarations have no name."""
+        html, n = self.html, len(self.html)
+        while m := _OPEN.search(html, at):
+            if m[1]:
+                return m.start(), min(n, self.end_of("-->", m.end()) + 3), False, "", ""
+            if m[2]:
+                close = self.end_of(">", m.end()) if self.ends else n
+                self.ends = close < n
+                return m.start(), min(n, close + 1), False, "", ""
+            stop = _INSIDE.match(html, m.end()).end() if self.quotes else m.end()
+            if not self.quotes or stop < n and html[stop] not in "<>":
+                self.quotes = False
+                stop = _PLAIN.match(html, m.end()).end()
+            attrs = html[m.end() : stop]
+            if stop < n and html[stop] == ">":
+                return m.start(), stop + 1, bool(m[3]), m[4].lower(), attrs
+            if not attrs.strip() or "=" in attrs:
+                return m.start(), stop, bool(m[3]), m[4].lower(), attrs
+            at = m.end()
+        return None
+
+
+class Lines:
+    """The lines of a page as its tags open and close."""
+
+    def __init__(self):
+        self.lines: list[tuple[str, int, float, bool]] = []
+        self.stack: list[tuple[str, float, bool]] = []  # open elements, what they leave of the weight and whether they are the article
+        self.open: Counter = Counter()
+        self.blocks: list[int] = []  # where in the stack blocks lie
+        self.parts: list[str] = []
+        self.furniture = self.doubted = self.articles = self.links = 0
+        self.marked = False
+
+    def text(self, text: str) -> None:
         if text:
-            parts.append(text)
-            if state["in_link"]:
-                state["links"] += len(text.strip())
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            if any(x[0] == tag for x in stack):
-                while stack[-1][0] != tag:
-                    pop()
-                pop()
-            elif tag in BLOCKS:
-                flush()
-            continue
-        if tag in _RAW_END and not m[3].rstrip().endswith("/"):
-            end = _RAW_END[tag].search(html, at)
-            at = end.end() if end else n
-            parts.append(" ")
-            continue
+            self.parts.append(text)
+            if self.open["a"]:
+                self.links += len(text.strip())
+
+    def flush(self) -> None:
+        if self.parts:
+            text = " ".join(unescape("".join(self.parts)).split())
+            if text:
+                weight = 0.0 if self.furniture else DOUBTED if self.doubted and not self.articles else 1.0
+                self.lines.append((text, self.links, weight, self.articles > 0))
+            self.parts.clear()
+        self.links = 0
+
+    def pop(self) -> None:
+        tag, weight, good = self.stack[-1]
+        if tag in BLOCKS or weight < 1:
+            self.flush()
+        self.stack.pop()
+        self.open[tag] -= 1
+        if self.blocks and self.blocks[-1] == len(self.stack):
+            self.blocks.pop()
+        self.furniture -= weight == 0
+        self.doubted -= 0 < weight < 1
+        self.articles -= good
+
+    def close(self, tag: str) -> None:
+        if self.open[tag]:
+            while self.stack[-1][0] != tag:
+                self.pop()
+            self.pop()
+        elif tag in BLOCKS:
+            self.flush()
+
+    def begin(self, tag: str, attrs: str) -> None:
         if tag == "br":
-            parts.append(" ")
+            self.parts.append(" ")
         if tag in BLOCKS:
-            flush()
-            closes = _SELF_CLOSING.get(tag)
-            if closes:
-                inner = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCKS), -1)
-                if inner >= 0 and stack[inner][0] in closes:
-                    while len(stack) > inner:
-                        pop()
-        if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCKS:
-            continue
-        bad = is_furniture(tag, m[3])
-        good = not bad and is_article(tag, m[3])
-        if good and not marked and tag in ARTICLE:
-            while stack and state["furniture"] and not state["article"] and stack[-1][0] not in FURNITURE:
-                pop()  # a container that was never closed ends where the article begins
-        if bad:
-            flush()
-        state["furniture"] += bad
-        marked = marked or good and not state["furniture"]
-        state["article"] += good
-        state["in_link"] += tag == "a"
-        stack.append((tag, bad, good))
-    flush()
-    return lines, marked
-
-
-def spans(weights: list[int], surge: float, window: int = WINDOW) -> list[tuple[int, int]]:
+            self.flush()
+            if self.blocks and self.stack[self.blocks[-1]][0] in _SELF_CLOSING.get(tag, ()):
+                for _ in range(len(self.stack) - self.blocks[-1]):
+                    self.pop()
+        if tag in VOID or attrs.rstrip().endswith("/") and tag not in BLOCKS:
+            return
+        weight = tag_weight(tag, attrs, self.articles > 0)
+        good = weight > 0 and is_article(tag, attrs)
+        if good and not self.marked and tag in ARTICLE:
+            while self.stack and self.furniture and not self.articles and self.stack[-1][0] not in FURNITURE:
+                self.pop()  # a container that was never closed ends where the article begins
+        if weight < 1:
+            self.flush()
+        self.furniture += weight == 0
+        self.doubted += 0 < weight < 1
+        self.marked = self.marked or good and not self.furniture
+        self.articles += good
+        if tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.open[tag] += 1
+        self.stack.append((tag, weight, good))
+
+
+def page_lines(html: str) -> tuple[list[tuple[str, int, float, bool]], bool]:
+    """Lines of a page in order: (text, characters of links, weight its containers leave it, inside a marked article), and whether an article is marked."""
+    page, tags, at = Lines(), Tags(html), 0
+    while found := tags.after(at):
+        begin, end, closing, tag, attrs = found
+        page.text(html[at:begin])
+        at = end
+        if closing:
+            page.close(tag)
+        elif tag in _RAW_END and not attrs.rstrip().endswith("/"):
+            close = _RAW_END[tag].search(html, end)
+            at = close.end() if close else len(html)
+            page.parts.append(" ")
+        elif tag:
+            page.begin(tag, attrs)
+    page.text(html[at:])
+    page.flush()
+    return page.lines, page.marked
+
+
+def spans(weights: list[float], surge: float, window: int = WINDOW) -> list[tuple[int, int]]:
     """Half-open line spans between surge and dive of the windowed text sums.
 
     The sum at line i covers lines i to i + window - 1. A span opens at the first weighted line of a window that exceeds `surge`, reaches back over weighted
@@ -194,8 +272,8 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     lines, _ = page_lines(html)
-    inner = [MARKED * len(text) if inside and not bad else 0 for text, _, bad, inside in lines]
-    outer = [0 if inside or bad or links >= LINK_SHARE * len(text) else len(text) - links for text, links, bad, inside in lines]
+    inner = [MARKED * len(text) if inside and weight else 0 for text, _, weight, inside in lines]
+    outer = [0 if inside or links >= LINK_SHARE * len(text) else weight * (len(text) - links) for text, links, weight, inside in lines]
     peaks = [max((sum(w[i : i + WINDOW]) for i in range(len(w))), default=0) for w in (inner, outer)]
     bar = SURGE_SHARE * max(peaks)
     chosen = {i for w, surge in ((inner, 0 if peaks[0] >= peaks[1] else bar), (outer, bar)) for lo, hi in spans(w, surge) for i in range(lo, hi) if w[i] > 0}
@@ -218,4 +296,4 @@ def extract_main_text(pages: DataFrame, *, key: str = "page_id", url: str = "url
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["k", "u", "text", "n_chars"])
 
     kinds = [narrow.schema[c].dataType.simpleString() for c in ("k", "u")]
-    return narrow.mapInArrow(run, f"k {kinds[0]}, u {kinds[1]}, text string, n_chars long").withColumnsRenamed({"k": key, "u": url})
+    return narrow.mapInArrow(run, f"k {kinds[0]}, u {kinds[1]}, text string, n_chars long").toDF(key, url, "text", "n_chars")
