@@ -6,28 +6,26 @@ stays in reach however long the text is.
 
 from __future__ import annotations
 
-import re
-
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_WORDS = re.compile(r"[^\W\d_]+")
-
-
 def fold(key):
     """The fold of a row: crc32 of its id as text, modulo 4. Fold 2 is held out. A null id lies in fold 0."""
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(4)).cast("int")
 
 
 def bounded_sample(rows: DataFrame, klass: str, per_class: int) -> DataFrame:
-    """About per_class rows of each class, all of a smaller one: a count of the classes and a filter by the hash of `key`, so that nothing is sorted or brought together."""
+    """About per_class rows of each class, all of a smaller one: a count of the classes and a filter by the hash of the columns `key` and `mark`, so that nothing is sorted or brought together.
+
+    Rows that are equal in both come all or none, so callers make `mark` tell repeated keys apart.
+    """
     counts = {r[klass]: r["n"] for r in rows.groupBy(klass).agg(F.count("*").alias("n")).collect()}  # one row a class
     spread = 1 << 20
     share = F.lit(0)
     for value, n in counts.items():
         share = F.when(F.col(klass) == F.lit(value), F.lit(min(spread, -(-per_class * spread // n)))).otherwise(share)
-    return rows.where(F.pmod(F.xxhash64("key"), F.lit(spread)) < share)
+    return rows.where(F.pmod(F.xxhash64("key", "mark"), F.lit(spread)) < share)
 
 
 def compressor(content: bytes, level: int, chunk: int) -> zstandard.ZstdCompressor:
@@ -46,17 +44,20 @@ def size(c: zstandard.ZstdCompressor, data: bytes, chunk: int) -> int:
     return sum(len(c.compress(data[i : i + chunk])) for i in range(0, len(data), chunk))
 
 
-def content(texts: list[bytes], limit: int, each: int) -> bytes:
-    """Raw dictionary content: at most `each` bytes of each text, `limit` bytes in all."""
+def pieces(data: bytes, each: int, most: int = 4) -> bytes:
+    """At most `each` bytes of a text: all of a short one, else up to `most` pieces spread over the whole of it."""
+    if len(data) <= each:
+        return data
+    size_, last = each // most - 1, most - 1
+    return b"\n".join(data[at : at + size_] for at in ((len(data) - size_) * i // last for i in range(most)))
+
+
+def content(parts: list[bytes], limit: int) -> bytes:
+    """Raw dictionary content: parts in order, up to `limit` bytes in all."""
     out, n = [], 0
-    for t in texts:
-        out.append(t[:each])
-        n += len(out[-1]) + 1
+    for p in parts:
+        out.append(p)
+        n += len(p) + 1
         if n >= limit:
             break
     return b"\n".join(out)[:limit]
-
-
-def distinct_words(text: str) -> bytes:
-    """The words of a text, lower-cased, each once in order of appearance: repetition and layout say nothing about a language."""
-    return " ".join(dict.fromkeys(_WORDS.findall(text.lower()))).encode("utf-8", "replace")

@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_batches, whole_row
-from .compression import bounded_sample, compressor, content, fold, size
+from .compression import bounded_sample, compressor, content, fold, pieces, size
 
-#: Bound of the labelled sample of each class, and characters taken of each of its texts.
-DOCS_PER_CLASS, FIT_CHARS = 4000, 6000
-BYTES_DICTIONARY, BYTES_EACH, SHAPE_DICTIONARY, SHAPE_EACH = 1 << 17, 1000, 1 << 16, 600
+#: Bound of the labelled sample of each class. Bytes of its dictionaries, and of each text in them, in pieces spread over the whole of it.
+DOCS_PER_CLASS = 4000
+BYTES_DICTIONARY, SHAPE_DICTIONARY, EACH = 1 << 17, 1 << 16, 600
 LEVEL, CHUNK = 6, 2048
 THRESHOLD = 0.7
 
@@ -83,28 +83,50 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> np.ndarray:
     return w
 
 
-def learn_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality") -> QualityModel:
-    """Fit on about DOCS_PER_CLASS labelled rows of each class outside fold 2.
+def logit(good: int, bad: int) -> np.ndarray:
+    return np.array([math.log((good + 0.5) / (bad + 0.5))])
 
-    Folds 0 and 3 make the dictionaries, without the lines that both classes have; fold 1 calibrates. A doc_id with several labels has its smallest. Without rows of both
+
+def learn_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = DOCS_PER_CLASS) -> QualityModel:
+    """Fit on about per_class labelled rows of each class outside fold 2.
+
+    Folds 0 and 3 make the dictionaries, from pieces spread over whole texts, without the lines that pieces of both classes have; fold 1 calibrates on whole texts. Tasks cut the pieces and measure the
+    calibration rows, so no text reaches the driver. Labels other than 0 and 1 are none. A doc_id with several labels has its smallest. Without rows of both
     classes in both parts, the score is the share of good rows, 0.5 without any.
     """
-    lab, row = whole_row(labels), whole_row(docs)
-    known = labels.select(lab.getField(key).alias("key"), lab.getField(label).alias("y")).where(F.col("key").isNotNull() & F.col("y").isNotNull() & (fold(F.col("key")) != 2))
-    ids = bounded_sample(known.groupBy("key").agg(F.min("y").alias("y")), "y", DOCS_PER_CLASS)
-    texts = docs.select(row.getField(key).alias("key"), F.substring(row.getField(text), 1, FIT_CHARS).alias("text"))
-    sample = texts.join(F.broadcast(ids), "key").withColumn("fold", fold(F.col("key")))  # about 2 x DOCS_PER_CLASS ids
-    rows = sorted(((str(r["key"]), r["text"] or "", int(r["y"]), r["fold"]) for r in sample.collect()), key=lambda r: (r[0], r[1]))
-    made, held = [r for r in rows if r[3] != 1], [r for r in rows if r[3] == 1]
-    if min(len({r[2] for r in part}) for part in (made, held)) < 2:
-        return QualityModel([b""] * 4, None if not rows else np.array([math.log((sum(r[2] for r in rows) + 0.5) / (len(rows) - sum(r[2] for r in rows) + 0.5))]))
-    lines: list[set[str]] = [set(), set()]
-    for _, t, y, _ in made:
-        lines[y].update(t.split("\n"))
+    spark, lab, row = docs.sparkSession, whole_row(labels), whole_row(docs)
+    known = labels.select(lab.getField(key).alias("key"), lab.getField(label).alias("y")).where(F.col("key").isNotNull() & F.col("y").isin(0, 1) & (fold(F.col("key")) != 2))
+    ids = bounded_sample(known.groupBy("key").agg(F.min("y").cast("int").alias("y")).withColumn("mark", F.lit(0)), "y", per_class)
+    texts = docs.select(row.getField(key).alias("key"), F.coalesce(row.getField(text), F.lit("")).alias("text"))
+    sample = texts.join(F.broadcast(ids.drop("mark")), "key").withColumn("mark", F.xxhash64("text")).withColumn("fold", fold(F.col("key")))  # about 2 x per_class ids
+    sample = bounded_sample(sample.withColumn("class", F.concat_ws("/", F.col("y"), F.col("fold") == 1)), "class", per_class)  # rows that repeat an id count as rows
+
+    @F.pandas_udf("binary")
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series([pieces(t.encode("utf-8", "replace"), EACH) for t in texts], dtype=object)
+
+    made = sorted(sample.where("fold <> 1").select("key", "mark", "y", cut("text").alias("part")).collect(), key=lambda r: (str(r["key"]), r["mark"]))  # EACH bytes a row
+    counts = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    prior = QualityModel([b""] * 4, logit(counts.get(1, 0), counts.get(0, 0)) if counts else None)
+    lines: list[set[bytes]] = [set(), set()]
+    for r in made:
+        lines[r["y"]].update(bytes(r["part"]).split(b"\n"))
+    if not all(lines):
+        return prior
     shared = lines[0] & lines[1]
-    own = [[o.encode("utf-8", "replace") for _, t, y, _ in made if y == q and (o := "\n".join(x for x in t.split("\n") if x not in shared))] for q in (0, 1)]
-    model = QualityModel([content(t, BYTES_DICTIONARY, BYTES_EACH) for t in own] + [content([shape(x) for x in t[: 8 * SHAPE_DICTIONARY // SHAPE_EACH]], SHAPE_DICTIONARY, SHAPE_EACH) for t in own])
-    model.weights = logistic(np.array([model.features(t) for _, t, _, _ in held]), np.array([r[2] for r in held], float))
+    own = [[o for r in made if r["y"] == y and (o := b"\n".join(x for x in bytes(r["part"]).split(b"\n") if x not in shared))] for y in (0, 1)]
+    model = QualityModel([content(parts, BYTES_DICTIONARY) for parts in own] + [content(list(map(shape, parts)), SHAPE_DICTIONARY) for parts in own])
+    sent = spark.sparkContext.broadcast(model.dictionaries)
+
+    @F.pandas_udf("array<double>")
+    def measure(texts: pd.Series) -> pd.Series:
+        coder = QualityModel(sent.value)
+        return pd.Series([coder.features(t) for t in texts], dtype=object)
+
+    held = sorted((r["y"], tuple(r["x"])) for r in sample.where("fold = 1").select("y", measure("text").alias("x")).collect())  # eight numbers a row
+    if len({y for y, _ in held}) < 2:
+        return prior
+    model.weights = logistic(np.array([x for _, x in held]), np.array([y for y, _ in held], float))
     return model
 
 
