@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bagminhash import in_groups
-from .common import durable, whole_row
+from .common import durable, scoped, whole_row
 from .components import connected_components
 from .vectors import by_dimension, is_sound
 
@@ -31,6 +31,10 @@ MISS, MOST_TREES = 0.001, 256
 #: Vectors of a tile, audited vectors of a start up to AUDIT_FROM nodes (beyond, they grow with the root of the nodes), and starts at most.
 TILE, AUDIT, AUDIT_FROM, STARTS = 1024, 128, 4096, 8
 GROUP = 512
+#: What a matrix product may be off by.
+ROUNDING = 1e-13
+#: Edges that a task holds before it trims them.
+HELD = 100_000
 EDGES = "a long, b long, s double, bridge boolean"
 
 
@@ -59,6 +63,14 @@ def matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(rows), "<f8").reshape(len(rows), -1)
 
 
+def cosines(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Cosines of all rows of a with all of b. Those within rounding of the threshold are summed exactly and moved to its side, so that every step decides a pair alike."""
+    s = a @ b.T
+    for i, j in zip(*np.nonzero(np.abs(s - threshold) < ROUNDING)):
+        s[i, j] = threshold if math.fsum(a[i] * b[j]) >= threshold else np.nextafter(threshold, -1)
+    return s
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The edges (a, b) as edges from each node to the smallest that they connect it to."""
     ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -147,18 +159,24 @@ def start(coded: DataFrame, seed: int, length: int, floor: float, threshold: flo
     placed = dealt(leaf_rows(coded), "leaf", GROUP, f"start{seed}").join(coded.select("id", "u"), "id").select("g", "id", "u")
 
     def compare(batches):
+        held, n = [], 0
         for t in in_groups(batches):
             if t.num_rows > 1:
                 u, ids = matrix(t.column(2)), t.column(1).to_numpy()
-                sims = u @ u.T
+                sims = cosines(u, u, threshold)
                 a, b, s = best_of(ids, sims, length, floor)
-                if len(a):
-                    yield from both_ways(a, b, s, length, threshold)
+                held.append(edge_rows(np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([s, s]), False))
                 near = sims >= threshold
                 full = np.flatnonzero(near.sum(axis=1) > length)
                 if len(full):
                     i, j = np.nonzero(near[full])
-                    yield from bridges(ids[full[i]], ids[j]).to_batches()
+                    held.append(bridges(ids[full[i]], ids[j]))
+                n += sum(x.num_rows for x in held[-2:])
+                if n > HELD:
+                    held = [best_rows(pa.concat_tables(held), length, threshold)]
+                    n = 0
+        if held:
+            yield from best_rows(pa.concat_tables(held), length, threshold).to_batches()
 
     return placed.repartition("g").sortWithinPartitions("g").mapInArrow(compare, EDGES)
 
@@ -191,7 +209,7 @@ def close_leaves(coded: DataFrame, parts: DataFrame, threshold: float) -> DataFr
             a, b = (np.flatnonzero(t.column(i).to_numpy(zero_copy_only=False)) for i in (1, 2))
             if len(a) and len(b):
                 ids, u = t.column(3).to_numpy(), matrix(t.column(4))
-                i, j = np.nonzero(u[a] @ u[b].T >= threshold)
+                i, j = np.nonzero(cosines(u[a], u[b], threshold) >= threshold)
                 yield from bridges(ids[a[i]], ids[b[j]]).to_batches()
 
     return tiles.repartition("g").sortWithinPartitions("g").mapInArrow(compare, EDGES)
@@ -237,7 +255,10 @@ def best_rows(t: pa.Table, length: int, threshold: float) -> pa.Table:
 
 
 def refine(graph: DataFrame, nodes: DataFrame, round_: int, length: int, floor: float, threshold: float) -> DataFrame:
-    """New edges among the neighbours, forward and reverse, of each node: those that improve the list of one of their ends, and bridges for the other links met."""
+    """New edges among the neighbours, forward and reverse, of each node: those that improve the list of one of their ends, and bridges for the other links met.
+
+    A saturated list is not improved any more: what its node still meets becomes a bridge, so a group of near copies makes no more edges than it has nodes.
+    """
     worst = graph.groupBy("a").agg(F.min("s").alias("w"), F.count("*").alias("k")).select(F.col("a").alias("id"), F.when(F.col("k") >= length, F.col("w")).otherwise(F.lit(floor)).alias("bar"))
     pairs = graph.select(F.col("a").alias("hub"), F.col("b").alias("id")).unionAll(graph.select(F.col("b").alias("hub"), F.col("a").alias("id"))).distinct()
     rows = dealt(pairs, "hub", 4 * length, f"round{round_}").join(worst, "id").join(nodes.select("id", "u"), "id").select("g", "id", "bar", "u")
@@ -248,15 +269,16 @@ def refine(graph: DataFrame, nodes: DataFrame, round_: int, length: int, floor:
         for t in in_groups(batches):
             if t.num_rows < 2:
                 continue
-            ids, bar, u = t.column(1).to_numpy(), t.column(2).to_numpy(), matrix(t.column(3))
-            s = np.triu(u @ u.T, 1)
+            ids, bar, u = t.column(1).to_numpy(), t.column(2).to_numpy().copy(), matrix(t.column(3))
+            s = np.triu(cosines(u, u, threshold), 1)
+            full = np.flatnonzero(bar >= threshold)
+            bar[full] = np.inf
             i, j = np.nonzero((s >= floor) & (s > np.minimum(bar[:, None], bar[None, :])))
             out_a.append(ids[i])
             out_b.append(ids[j])
             out_s.append(s[i, j])
             n += len(i)
-            full = np.flatnonzero(bar >= threshold)  # only between two of these can a link improve neither list
-            if len(full) > 1:
+            if len(full) > 1:  # only between two of these can a link improve neither list
                 i, j = np.nonzero(s[np.ix_(full, full)] >= threshold)
                 over_a.append(ids[full[i]])
                 over_b.append(ids[full[j]])
@@ -297,7 +319,7 @@ def audit(nodes: DataFrame, parts: DataFrame, n: int, again: int, threshold: flo
                 rows = np.flatnonzero(d == dim)
                 for at in np.array_split(rows, max(1, -(-len(rows) // 1000))):
                     if len(at):
-                        near = (vs @ matrix(t.column(3).take(pa.array(at))).T >= threshold) & (cs[:, None] != c[at][None, :])
+                        near = (cosines(vs, matrix(t.column(3).take(pa.array(at))), threshold) >= threshold) & (cs[:, None] != c[at][None, :])
                         i, j = np.nonzero(near)
                         yield from bridges(ids[i], other[at[j]]).select(["a", "b"]).to_batches()
 
@@ -317,7 +339,7 @@ def count_links(nodes: DataFrame, parts: DataFrame, threshold: float) -> DataFra
             left, right = t.column(1).to_numpy(zero_copy_only=False), t.column(2).to_numpy(zero_copy_only=False)
             ids, n, u = t.column(3).to_numpy(), t.column(4).to_numpy().astype(np.float64), matrix(t.column(5))
             a, b = np.flatnonzero(left), np.flatnonzero(right)
-            near = u[a] @ u[b].T >= threshold
+            near = cosines(u[a], u[b], threshold) >= threshold
             near &= ids[a][:, None] != ids[b][None, :]
             total = np.zeros(len(ids))
             total[a] += near @ n[b]
@@ -329,6 +351,7 @@ def count_links(nodes: DataFrame, parts: DataFrame, threshold: float) -> DataFra
     return counted.groupBy("id").agg(F.sum("links").alias("links"))
 
 
+@scoped
 def near_vectors(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9) -> DataFrame:
     """Links of cosine >= threshold: r (the row), n_links (other vectors linked directly), component_id (smallest id that links reach, its own included) and kept.
 
@@ -373,6 +396,6 @@ def near_vectors(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embe
         joined = nodes.join(parts.withColumnRenamed("node", "id"), "id", "left").join(counts, "id", "left")
         linked = joined.select("d", "u", F.coalesce("component", "id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"))
     per_vector = units.join(linked, ["d", "u"]).select("id", "component", "links").distinct()
-    per_id = per_vector.groupBy("id").agg(F.min("component").alias("component"), F.max("links").alias("links"))
+    per_id = durable(per_vector.groupBy("id").agg(F.min("component").alias("component"), F.max("links").alias("links")), "nn-found", keep=True)
     out = packed.join(per_id, "id", "left").withColumn("component_id", F.coalesce("component", "id"))
     return out.select("r", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept"))
