@@ -30,6 +30,8 @@ LEAF, LIST, ROUNDS, SETTLED, FLOOR = 256, 12, 3, 0.01, 0.5
 MISS, MOST_TREES = 0.001, 256
 #: Vectors of a tile, audited vectors of a start up to AUDIT_FROM nodes (beyond, they grow with the root of the nodes), and starts at most.
 TILE, AUDIT, AUDIT_FROM, STARTS = 1024, 128, 4096, 8
+#: Chunks that a component of less than this many tiles is still cut into, so that it is no single task's work.
+SPREAD = 16
 GROUP = 512
 #: What a matrix product may be off by.
 ROUNDING = 1e-13
@@ -329,7 +331,7 @@ def audit(nodes: DataFrame, parts: DataFrame, n: int, again: int, threshold: flo
 def count_links(nodes: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
     """(id, links): the weight of the other nodes of its component that reach the threshold, component by component in tiles of TILE x TILE."""
     sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
-    members = parts.join(sizes, "component").withColumnRenamed("node", "id").withColumn("chunks", F.ceil(F.col("size") / TILE)).withColumn("chunk", F.pmod(F.xxhash64(F.lit("tile"), "id"), F.col("chunks")))
+    members = parts.join(sizes, "component").withColumnRenamed("node", "id").withColumn("chunks", F.greatest(F.ceil(F.col("size") / TILE), F.least(F.lit(SPREAD), F.ceil(F.col("size") / (TILE / SPREAD))))).withColumn("chunk", F.pmod(F.xxhash64(F.lit("tile"), "id"), F.col("chunks")))
     tiles = members.select("id", "component", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
     low, high = F.least("chunk", "other"), F.greatest("chunk", "other")
     rows = tiles.select(F.xxhash64("component", low, high).alias("g"), (F.col("chunk") <= F.col("other")).alias("left"), (F.col("chunk") >= F.col("other")).alias("right"), "id").join(nodes.select("id", "n", "u"), "id")
