@@ -5,20 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Characters that variant files write as % and their two hex digits. The % itself comes first when escaping and last when reading.
-RESERVED = {"%": "%25", ":": "%3A", ";": "%3B", "=": "%3D", ",": "%2C", "\r": "%0D", "\n": "%0A", "\t": "%09"}
+# Characters that variant files write as @ and their two hex digits. The @ itself comes first when escaping and last when reading.
+RESERVED = {"@": "@40", ":": "@3A", ";": "@3B", ",": "@2C", "\t": "@09", "\n": "@0A"}
 
 
 def escape(text: Column) -> Column:
+    """A field's text with reserved characters coded; an empty or null text is a point."""
+    coded = text
     for plain, code in RESERVED.items():
-        text = F.replace(text, F.lit(plain), F.lit(code))
-    return text
+        coded = F.replace(coded, F.lit(plain), F.lit(code))
+    return F.when(text.isNull() | (text == ""), F.lit(".")).otherwise(coded)
 
 
 def unescape(text: Column) -> Column:
+    """The text behind an escaped field; a point is empty."""
+    plain_text = F.when(text == ".", F.lit("")).otherwise(text)
     for plain, code in reversed(RESERVED.items()):
-        text = F.replace(text, F.lit(code), F.lit(plain))
-    return text
+        plain_text = F.replace(plain_text, F.lit(code), F.lit(plain))
+    return plain_text
 
 
 def info_map(info: Column) -> Column:

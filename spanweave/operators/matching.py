@@ -55,16 +55,17 @@ def merged_spans(df: DataFrame, keys: Sequence[str], gap: int, aggregates: Seque
 
 
 def preferred_windows(df: DataFrame, keys: Sequence[str], preferred: int, start: str = "s", end: str = "e") -> DataFrame:
-    """Windows of spans in order: a new one begins at a gap that no span covers once the window is longer than `preferred`; overlapping chains are never cut. Column window, from 0 in each part.
+    """Windows of spans in order: a new one begins at a gap that no span covers if taking in the next span would make the window longer than `preferred`; chains that overlap or touch are never cut. Column window,
+    from 0 in each part.
 
-    Keys are parted at gaps longer than `preferred`, where a window ends anyway or may end.
+    Keys are parted at gaps longer than `preferred`, where a window ends anyway.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([start, end])
         numbers, number, first, last = [], 0, None, None
         for s, e in zip(pdf[start], pdf[end]):
-            if last is not None and s >= last and last - first > preferred:
+            if last is not None and s > last and max(last, e) - first > preferred:
                 number, first, last = number + 1, s, e
             first, last = (s if first is None else first), (e if last is None else max(last, e))
             numbers.append(number)
@@ -80,6 +81,7 @@ def dense_ranks(df: DataFrame, group: Sequence[str], size: str) -> DataFrame:
 
 
 def natural_key(name: Column) -> Column:
-    """A sort key under which numbers inside names compare as numbers."""
+    """A sort key under which numbers inside names compare as numbers, however long: each is written as its count of digits and its digits. Names that differ in leading zeros alone are told apart by the name behind."""
     parts = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, 18, "0")).otherwise(p)), "")
+    digits = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
+    return F.concat(F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.concat(F.lpad(F.length(digits(p)).cast("string"), 6, "0"), digits(p))).otherwise(p)), ""), F.lit("\x00"), name)

@@ -34,28 +34,24 @@ def grouped(df: DataFrame, keys: Sequence[str], columns: dict[str, str], functio
     return df.withColumn("_g", F.expr(f"part div {together}")).groupBy(*keys, "_g").applyInPandas(run, schema)
 
 
-def walk_breaks(gains: np.ndarray, costs: np.ndarray) -> np.ndarray:
-    """Where a balance that earns each item's gain and pays each gap's cost runs below zero, to start anew behind the gap: a flag a gap."""
-    broken = np.zeros(len(costs), bool)
-    balance = 0
-    for i, cost in enumerate(costs):
-        balance += gains[i] - cost
-        if balance < 0:
-            broken[i], balance = True, 0
-    return broken
-
-
 def score_breaks(df: DataFrame, keys: Sequence[str], hard_gap: int, start: str = "s", end: str = "e") -> DataFrame:
-    """Segments of disjoint intervals: a gap breaks if the covered length less the gaps falls below zero at it, walking from the left or from the right, or if it exceeds hard_gap. Column segment, from 0 in each part."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(start)
-        gains = (pdf[end] - pdf[start]).to_numpy()
-        costs = (pdf[start].to_numpy()[1:] - pdf[end].to_numpy()[:-1])
-        broken = walk_breaks(gains, costs) | walk_breaks(gains[::-1], costs[::-1])[::-1]
-        return pdf.assign(segment=np.concatenate([[0], np.cumsum(broken)]).astype("int64"))
-
-    return grouped(parted(df, keys, start, end, hard_gap), keys, {"segment": "bigint"}, run)
+    """Segments of disjoint intervals: a gap breaks if the covered length less the gaps falls below zero at it, walking from the left or from the right and anew behind each break, or if it exceeds hard_gap. Column
+    segment, from 0 in each part.
+
+    A balance that starts anew when it falls below zero does so just where the plain running sum reaches a new minimum below zero, so each way is one running sum and one running minimum inside a part.
+    """
+    rows = parted(df, keys, start, end, hard_gap)
+    order = Window.partitionBy(*keys, "part").orderBy(start)
+    past, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    gain = F.col(end) - F.col(start)
+    sums = rows.withColumns({"_gap": F.lead(start).over(order) - F.col(end), "_back": F.col(start) - F.lag(end).over(order)})
+    sums = sums.withColumns({"_l": F.sum(gain - F.coalesce("_gap", F.lit(0))).over(past), "_r": F.sum(gain - F.coalesce("_back", F.lit(0))).over(ahead)})
+    lows = sums.withColumns({"_lm": F.min("_l").over(order.rowsBetween(Window.unboundedPreceding, -1)), "_rm": F.min("_r").over(order.rowsBetween(1, Window.unboundedFollowing))})
+    zero = F.lit(0).cast("long")
+    behind = F.col("_gap").isNotNull() & (F.col("_l") < F.least(zero, F.coalesce("_lm", zero)))
+    before = F.col("_back").isNotNull() & (F.col("_r") < F.least(zero, F.coalesce("_rm", zero)))
+    cut = lows.withColumn("_b", behind).withColumn("_cut", (before | F.coalesce(F.lag("_b").over(order), F.lit(False))).cast("long"))
+    return cut.withColumn("segment", F.sum("_cut").over(past)).drop("_gap", "_back", "_l", "_r", "_lm", "_rm", "_b", "_cut")
 
 
 def capped_groups(df: DataFrame, keys: Sequence[str], gap: int, cap: int, start: str = "s", end: str = "e") -> DataFrame:

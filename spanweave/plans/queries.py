@@ -466,8 +466,8 @@ def locus_parse(spark, d):
     return rows.select("l_orderkey", "l_linenumber", text.locus(written).alias("x")).select("l_orderkey", "l_linenumber", "x.*")
 
 
-@query("SELECT event_id, replace(replace(replace(replace(replace(props, '%', '%25'), ':', '%3A'), ';', '%3B'), '=', '%3D'), ',', '%2C') AS escaped, TRUE AS same FROM events")
-def percent_escape(spark, d):
+@query("SELECT event_id, CASE WHEN props = '' THEN '.' ELSE replace(replace(replace(replace(props, '@', '@40'), ':', '@3A'), ';', '@3B'), ',', '@2C') END AS escaped, TRUE AS same FROM events")
+def field_escape(spark, d):
     e = text.escape(F.col("props"))
     return table(spark, d, "events").select("event_id", e.alias("escaped"), (text.unescape(e) == F.col("props")).alias("same"))
 
@@ -564,17 +564,8 @@ def preblocks(spark, d):
     return graph.preblocks(spans_of_days(spark, d), ["supp"], 3).groupBy("supp", "block").agg(F.count("*").alias("n"), F.min("s").alias("s"), F.max("e").alias("e"))
 
 
-@query("WITH RECURSIVE P AS (SELECT DISTINCT a.o_custkey AS a, b.o_custkey AS b FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 AND a.o_orderstatus = b.o_orderstatus AND a.o_orderpriority = b.o_orderpriority AND a.o_orderkey % 9 = 0 AND a.o_custkey <> b.o_custkey), S AS (SELECT a, b FROM P UNION SELECT b, a FROM P), R AS (SELECT a AS node, a AS seen FROM S UNION SELECT R.node, S.b FROM R JOIN S ON S.a = R.seen) SELECT node, min(seen) AS component FROM R GROUP BY node")
+@query("WITH RECURSIVE P AS (SELECT DISTINCT a.o_custkey AS a, b.o_custkey AS b FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 AND a.o_orderstatus = b.o_orderstatus AND a.o_orderpriority = b.o_orderpriority AND a.o_custkey <> b.o_custkey), S AS (SELECT a, b FROM P UNION SELECT b, a FROM P), R AS (SELECT a AS node, a AS seen FROM S UNION SELECT R.node, S.b FROM R JOIN S ON S.a = R.seen) SELECT node, min(seen) AS component FROM R GROUP BY node")
 def connected_components(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    b = o.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("o_custkey").alias("b"), "o_orderstatus", "o_orderpriority")
-    pairs = o.where("o_orderkey % 9 = 0").join(b, ["o_orderkey", "o_orderstatus", "o_orderpriority"]).select(F.col("o_custkey").alias("a"), "b").where("a <> b")
-    return graph.components(pairs)
-
-
-@query()
-def connected_components_whole(spark, d):
-    """As connected_components, over the pairs of all consecutive orders. The recursive SQL is too slow for them, so tests compare with a plain version."""
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     b = o.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("o_custkey").alias("b"), "o_orderstatus", "o_orderpriority")
     return graph.components(o.join(b, ["o_orderkey", "o_orderstatus", "o_orderpriority"]).select(F.col("o_custkey").alias("a"), "b").where("a <> b"))
@@ -583,9 +574,20 @@ def connected_components_whole(spark, d):
 # Segmentations with state
 
 
-@query()
+def breaks_sql(name: str, source: str, keys: str, hard: int) -> str:
+    """The segments of score_breaks() as CTEs: running sums whose new minima below zero are the breaks."""
+    w = f"PARTITION BY {keys}, part ORDER BY s"
+    return f"""{name}_p AS (SELECT *, sum(c) OVER (PARTITION BY {keys} ORDER BY s ROWS UNBOUNDED PRECEDING) AS part FROM (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY {keys} ORDER BY s) <= {hard} THEN 0 ELSE 1 END AS c FROM {source}) z),
+  {name}_g AS (SELECT *, lead(s) OVER ({w}) - e AS gap, s - lag(e) OVER ({w}) AS back FROM {name}_p),
+  {name}_s AS (SELECT *, sum(e - s - coalesce(gap, 0)) OVER ({w} ROWS UNBOUNDED PRECEDING) AS lsum, sum(e - s - coalesce(back, 0)) OVER ({w} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rsum FROM {name}_g),
+  {name}_m AS (SELECT *, least(0, coalesce(min(lsum) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS lmin, least(0, coalesce(min(rsum) OVER ({w} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)) AS rmin FROM {name}_s),
+  {name}_c AS (SELECT *, CASE WHEN back IS NOT NULL AND rsum < rmin OR coalesce(lag(gap IS NOT NULL AND lsum < lmin) OVER ({w}), FALSE) THEN 1 ELSE 0 END AS cut FROM {name}_m),
+  {name} AS (SELECT {keys}, CAST(part AS BIGINT) AS part, CAST(sum(cut) OVER ({w} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment, s, e FROM {name}_c)"""
+
+
+@query(f"WITH {L}, {union_sql('u', 'L', 'supp')}, {breaks_sql('b', 'u', 'supp', 30)} SELECT supp, part, segment, min(s) AS s, max(e) AS e, count(*) AS n FROM b GROUP BY supp, part, segment")
 def score_breaks(spark, d):
-    u = intervals.union(spans_of_days(spark, d), ["supp"])
+    u = intervals.union(spans_of_days(spark, d), ["supp"], bin_width=DAYS)
     return segments.score_breaks(u, ["supp"], 30).groupBy("supp", "part", "segment").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count("*").alias("n"))
 
 
@@ -804,16 +806,12 @@ def broken_walks(spark, d):
     return filters.broken_walks(walks(spark, d), ["l_orderkey"], [F.col("step")], F.col("l_suppkey") % 5 == 0).select("l_orderkey", "l_partkey", "run")
 
 
-@query(f"WITH p AS (SELECT l_suppkey AS x, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY {STEP}) AS y FROM lineitem), q AS (SELECT least(x, y) AS a, greatest(x, y) AS b, count(*) AS n FROM p WHERE y IS NOT NULL GROUP BY 1, 2) SELECT * FROM q WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT x.l_suppkey AS u, y.l_suppkey AS v FROM lineitem x JOIN lineitem y ON x.l_partkey = y.l_partkey AND x.l_suppkey <= y.l_suppkey AND x.l_partkey % 40 = 0) z WHERE u = a AND v = b)")
+@query(
+    f"""WITH p AS (SELECT l_orderkey, l_partkey AS x, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY {STEP}) AS y FROM lineitem),
+  q AS (SELECT least(x, y) AS a, greatest(x, y) AS b, l_orderkey AS w FROM p WHERE y IS NOT NULL) SELECT a, b, count(*) AS n FROM q GROUP BY a, b HAVING count(DISTINCT w) = 1"""
+)
 def missing_links(spark, d):
-    rows = table(spark, d, "lineitem").where("l_partkey % 40 = 0").select("l_partkey", "l_suppkey").distinct()
-    known = rows.select("l_partkey", F.col("l_suppkey").alias("a")).join(rows.select("l_partkey", F.col("l_suppkey").alias("b")), "l_partkey").where("a <= b").select("a", "b")
-    return filters.missing_links(walks(spark, d), known, ["l_orderkey"], "l_suppkey", "step")
-
-
-@query()
-def missing_links_whole(spark, d):
-    """As missing_links, with links from the steps of all walks: those of a walk that no other walk takes are missing. No pairs of all rows of a part are made."""
+    """Links are known from the steps of all other walks: steps of a walk that no other walk takes are missing."""
     rows = walks(spark, d)
     following = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("step"))
     taken = rows.select("l_orderkey", F.col("l_partkey").alias("x"), following.alias("y")).where("y IS NOT NULL").select("l_orderkey", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))

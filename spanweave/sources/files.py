@@ -5,7 +5,7 @@ All are ordinary Spark text scans with a projection, so files split, columns are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import info_map
@@ -34,9 +34,21 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """name, sequence, quality of four-line records, a record a row: they are parted at line breaks before an @ whose third line begins with +."""
-    records = spark.read.option("lineSep", "\n@").text(path).select(F.split(F.regexp_replace("value", "^@", ""), "\n").alias("f")).where(F.size("f") >= 4)
-    return records.select(F.regexp_extract(_at(0), r"^(\S*)", 1).alias("name"), _at(1).alias("sequence"), _at(3).alias("quality"))
+    """name, sequence, quality of four-line records, a record a row.
+
+    Files are parted at line breaks before an @. A quality line that begins with @ is parted from its record so; the record then has three lines, and takes the first line of the piece that follows, which is the next
+    of its block of the file or the first of the next block.
+    """
+    where = {"file": F.col("_metadata.file_path"), "block": F.col("_metadata.file_block_start")}
+    pieces = spark.read.option("lineSep", "\n@").text(path).select("value", *[c.alias(n) for n, c in where.items()], F.monotonically_increasing_id().alias("at"))
+    order = Window.partitionBy("file", "block").orderBy("at")
+    placed = pieces.withColumn("behind", F.lead("value").over(order)).withColumn("first", F.row_number().over(order) == 1)
+    heads = placed.where("first").select("file", "block", F.col("value").alias("head"))  # a row a block
+    follows = heads.withColumn("next_head", F.lead("head").over(Window.partitionBy("file").orderBy("block"))).select("file", "block", "next_head")
+    whole = placed.join(follows, ["file", "block"]).select(F.split(F.regexp_replace("value", "^@", ""), "\r?\n").alias("f"), F.coalesce("behind", "next_head").alias("rest"))
+    lines = whole.where((F.size("f") >= 3) & F.get("f", F.lit(2)).startswith("+"))
+    quality = F.when(F.size("f") == 3, F.concat(F.lit("@"), F.regexp_extract("rest", r"^([^\r\n]*)", 1))).otherwise(_at(3))
+    return lines.select(F.regexp_extract(_at(0), r"^(\S*)", 1).alias("name"), _at(1).alias("sequence"), quality.alias("quality"))
 
 
 def chunked(sequences: DataFrame, size: int, overlap: int = 0) -> DataFrame:

@@ -29,6 +29,15 @@ def test_fasta_round_trip_and_fetch(spark, tmp_path):
 def test_fastq(spark, tmp_path):
     path = save(tmp_path, "a.fq", "@r1 x\nACGT\n+\nIIII\n@r2\nGG\n+\nII\n")
     assert [(r["name"], r["sequence"], r["quality"].strip()) for r in files.read_fastq(spark, path).collect()] == [("r1", "ACGT", "IIII"), ("r2", "GG", "II")]
+    rows = [(f"r{i}", "ACGTA"[: 1 + i % 5], "@@I@+"[: 1 + i % 5]) for i in range(40)] + [("last", "A", "@")]
+    path = save(tmp_path, "b.fq", "".join(f"@{n} x\n{s}\n+\n{q}\n" for n, s, q in rows))
+    assert sorted((r["name"], r["sequence"], r["quality"]) for r in files.read_fastq(spark, path).collect()) == sorted(rows)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        assert sorted((r["name"], r["sequence"], r["quality"]) for r in files.read_fastq(spark, path).collect()) == sorted(rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_bed_and_its_errors(spark, tmp_path):
