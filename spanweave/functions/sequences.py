@@ -38,17 +38,17 @@ def canonical(kmer: Column, largest: bool = True) -> Column:
 
 
 def runs_of(sequence: Column, letters: str) -> Column:
-    """Maximal runs of the letters: array of (s, e), 0-based and half-open."""
-    texts = F.regexp_extract_all(sequence, F.lit(f"([^{letters}]*)([{letters}]+)"), F.lit(1))
-    runs = F.regexp_extract_all(sequence, F.lit(f"([^{letters}]*)([{letters}]+)"), F.lit(2))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<s:bigint,e:bigint>>").alias("out"))
+    """Maximal runs of the letters: array of (s, e), 0-based and half-open. The characters are bound once and read by place, so a sequence costs its length."""
 
-    def step(acc: Column, pair: Column) -> Column:
-        s = acc["at"] + F.length(pair["0"])
-        e = s + F.length(pair["1"])
-        return F.struct(e.cast("long").alias("at"), F.concat(acc["out"], F.array(F.struct(s.cast("long").alias("s"), e.cast("long").alias("e")))).alias("out"))
+    def runs(chars: Column) -> Column:
+        n = F.size(chars)
+        at = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
+        good = lambda i: F.coalesce(F.instr(F.lit(letters), F.get(chars, i)) > 0, F.lit(False)) & (i >= 0) & (i < n) & (F.get(chars, i) != "")
+        starts = F.filter(at, lambda i: good(i) & ~F.coalesce(good(i - 1), F.lit(False)))
+        ends = F.filter(at, lambda i: good(i) & ~F.coalesce(good(i + 1), F.lit(False)))
+        return F.zip_with(starts, ends, lambda s, e: F.struct(s.cast("long").alias("s"), (e + 1).cast("long").alias("e")))
 
-    return F.aggregate(F.arrays_zip(texts.alias("0"), runs.alias("1")), start, step, lambda acc: acc["out"])
+    return F.element_at(F.transform(F.array(F.split(sequence, "")), runs), 1)
 
 
 def windows_of(length: Column, width: int) -> Column:

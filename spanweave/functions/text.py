@@ -93,3 +93,33 @@ def interval_distance(s: Column, e: Column, s2: Column, e2: Column) -> Column:
 def flipped(s: Column, e: Column, length: Column) -> Column:
     """An interval's coordinates on the reverse strand."""
     return F.struct((length - e).alias("s"), (length - s).alias("e"))
+
+
+def composed_strand(*signs: Column) -> Column:
+    """The strand that orientations (+ or >, - or <) one after another make."""
+    backward = F.lit(0)
+    for s in signs:
+        backward = backward + F.when(s.isin("+", ">"), 0).otherwise(1)
+    return F.when(backward % 2 == 0, "+").otherwise("-")
+
+
+def interval_json(spans: Column) -> Column:
+    """An array of (s, e) as JSON, [[s,e],...]."""
+    return F.to_json(F.transform(spans, lambda x: F.array(x["s"], x["e"])))
+
+
+def interval_list(json: Column) -> Column:
+    """[[s,e],...] as an array of (s, e); a null, empty text or point is an empty array. An entry of other than two numbers in order fails."""
+    pairs = F.from_json(json, "array<array<bigint>>")
+    bad = F.exists(pairs, lambda p: (F.size(p) != 2) | (p[0] >= p[1]))
+    checked = F.when(F.coalesce(bad, F.lit(True)), F.raise_error(F.concat(F.lit("invalid interval list: "), json))).otherwise(F.transform(pairs, lambda p: F.struct(p[0].alias("s"), p[1].alias("e"))))
+    return F.when(json.isNull() | json.isin("", "."), F.array().cast("array<struct<s:bigint,e:bigint>>")).otherwise(checked)
+
+
+def literal_sequence(raw: Column) -> Column:
+    """The bases that an inserted sequence states: itself if it is plain, else the literal bases of its chunks' operations (I, X, S). Null if a chunk copies bases from a path (=, M), or if it states none."""
+    body = F.regexp_replace(unescape(raw), r"[<>](?:[^<>:]*:)?", " ")
+    coded = raw.rlike(r"^[<>]")
+    copies = body.rlike(r"(^|\D)0*[1-9]\d*[=M]")
+    bases = F.array_join(F.regexp_extract_all(body, F.lit(r"\d+[IXS]([A-Za-z]+?)(?=\d|\s|$)"), F.lit(1)), "")
+    return F.when(raw.isNull() | raw.isin("", "."), F.lit(None)).when(~coded, unescape(raw)).when(copies, F.lit(None)).otherwise(bases)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import settled
 from .intervals import cells_of
 
 
@@ -53,7 +54,7 @@ def components(pairs: DataFrame, most: int = 64) -> DataFrame:
         met = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("lb")), "b").groupBy(F.col("a").alias("node")).agg(F.min("lb").alias("lb"))
         hooked = labels.join(met, "node").select("node", F.least("component", "lb").alias("component"))
         jumped = hooked.join(hooked.select(F.col("node").alias("component"), F.col("component").alias("c2")), "component", "left").select("node", F.least("component", "c2").alias("component"))
-        labels = jumped.checkpoint() if jumped.sparkSession.sparkContext.getCheckpointDir() else jumped.persist()
+        labels = settled(jumped)
         now = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
         if now == mark:
             return labels

@@ -5,22 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = 512
+from ..functions.sequences import reverse_complement
+
+CHUNK = 4096
 
 
 def kmers(df: DataFrame, sequence: str, k: int, keys: list[str], *, valid: str | None = None) -> DataFrame:
     """Every k-mer with its 0-based position: keys, pos, kmer. With `valid`, a character class, k-mers that hold another character are left out.
 
-    A sequence is first cut into chunks that overlap by k - 1, so that no long string is indexed from its start for every position.
+    A sequence is first cut into chunks that overlap by k - 1, so that no row holds more than CHUNK k-mers; a lookahead then reads all k-mers of a chunk in one pass, and the chunk itself goes no further.
     """
     n = F.length(sequence)
     chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((n - k) / CHUNK).cast("int"), F.lit(0))), lambda i: F.struct(i.alias("i"), F.substr(F.col(sequence), i * CHUNK + 1, F.lit(CHUNK + k - 1)).alias("c")))
     rows = df.where(n >= k).select(*keys, F.explode(chunks).alias("_x")).select(*keys, "_x.i", "_x.c")
-    found = rows.where(F.length("c") >= k).select(*keys, "i", "c", F.explode(F.sequence(F.lit(1), F.length("c") - (k - 1))).alias("_p"))
-    out = found.select(*keys, (F.col("i") * CHUNK + F.col("_p") - 1).cast("long").alias("pos"), F.substr("c", F.col("_p"), F.lit(k)).alias("kmer"))
+    found = rows.select(*keys, "i", F.posexplode(F.regexp_extract_all("c", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))).alias("_p", "kmer"))
+    out = found.select(*keys, (F.col("i") * CHUNK + F.col("_p")).cast("long").alias("pos"), "kmer")
     return out.where(F.col("kmer").rlike(f"^[{valid}]{{{k}}}$")) if valid else out
 
 
+def packed(kmer: Column, k: int) -> Column:
+    """A k-mer over ACGT, in either case, as a number of two bits a base, the first base highest; null if it holds another character. k is at most 31."""
+    digits = F.translate(F.upper(kmer), "ACGT", "0123")
+    low = digits if k <= 15 else F.right(digits, F.lit(15))
+    value = F.conv(low, 4, 10).cast("long")
+    for lo in range(k - 15, -15, -15) if k > 15 else ():
+        if lo > 0:
+            part = F.substring(digits, max(1, lo - 14), min(15, lo))
+            value = value + F.shiftleft(F.conv(part, 4, 10).cast("long"), 2 * (k - lo))
+    return F.when(F.upper(kmer).rlike(f"^[ACGT]{{{k}}}$"), value)
+
+
+def both_strands(kmer: Column, k: int) -> Column:
+    """The larger code of a k-mer and of its reverse complement."""
+    return F.greatest(packed(kmer, k), packed(reverse_complement(F.upper(kmer)), k))
+
+
 def occurrences(df: DataFrame, keys: list[str] | None = None, cap: int | None = None) -> DataFrame:
     """How often each k-mer occurs (per key), saturating at `cap`: keys, kmer, n."""
     n = F.count("*")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import settled
 from .segments import grouped
 
 
@@ -60,11 +61,6 @@ def trio_counts(flags: DataFrame, group: Sequence[str]) -> DataFrame:
     return counts.withColumn("fraction", F.round(F.col("either") / F.nullif(F.col("total"), F.lit(0)), 6))
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once, so that rounds do not repeat one another."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-
-
 def levels(tree: DataFrame, node: str, parent: str) -> DataFrame:
     """The level of every node whose chain of parents ends at a root (a null parent, or one that is no node): node, level from 0.
 

@@ -170,3 +170,102 @@ def plain_variants(df: DataFrame) -> DataFrame:
     """Rows on roots only: nested rows and rows at position 0 of the file's own counting go; symbolic insertions take their bases from the info's SEQ."""
     kept = df.where((F.col("s") >= 0) & ~F.col("info").getItem("PARENT").isNotNull())
     return kept.withColumn("alt", F.when((F.col("alt") == "<INS>") & F.col("info").getItem("SEQ").isNotNull(), F.concat(F.col("ref"), F.col("info").getItem("SEQ"))).otherwise(F.col("alt")))
+
+
+def read_mapper_bed(spark: SparkSession, path: str) -> DataFrame:
+    """Mapping rows of sixteen columns or more: contig, s, e, target, score, strand, sample, t0, t1 and source_target (the 17th column, else the target). A row with another strand or an empty interval fails the scan."""
+    rows = _fields(spark, path).select(
+        _at(0).alias("contig"), _at(1).cast("long").alias("s"), _at(2).cast("long").alias("e"), _at(3).alias("target"), _at(4).cast("int").alias("score"), _at(5).alias("strand"), _at(6).alias("sample"),
+        _at(7).cast("long").alias("t0"), _at(8).cast("long").alias("t1"), F.coalesce(_at(16), _at(3)).alias("source_target"),
+    )
+    sound = F.col("strand").isin("+", "-") & (F.col("s") >= 0) & (F.col("s") < F.col("e")) & (F.col("t0") >= 0) & (F.col("t0") < F.col("t1"))
+    return _must(rows, F.coalesce(sound, F.lit(False)), "a mapping row with a bad strand or interval")
+
+
+def read_graph_alignments(spark: SparkSession, path: str) -> DataFrame:
+    """Ten columns of graph alignments, with or without a header line: hotspot, contig, s, e, strand, query, path, cigar, reference_positions, query_positions. Points are null."""
+    texts = {"contig": 1, "strand": 4, "query": 5, "path": 6, "cigar": 7, "reference_positions": 8, "query_positions": 9}
+    rows = _fields(spark, path).where(_at(0).rlike(r"^\d+$"))
+    return rows.select(_at(0).cast("int").alias("hotspot"), _at(2).cast("long").alias("s"), _at(3).cast("long").alias("e"), *[F.nullif(_at(i), F.lit(".")).alias(n) for n, i in texts.items()])
+
+
+def read_hotspots(spark: SparkSession, path: str) -> DataFrame:
+    """Hotspot rows of four or six columns: target (from 1), contig, s, e (in order) and raw (whether they are raw k-mer ends, as in the four-column form). A row of neither form, or an empty one, fails the scan."""
+    rows = _fields(spark, path)
+    six = (F.size("f") >= 6) & _at(0).rlike(r"^\d+$") & _at(3).isin("+", "-")
+    four = (F.size("f") >= 4) & _at(1).rlike(r"^\d+$")
+    n = F.size("f")
+    a, b = F.when(six, _at(4)).otherwise(F.get("f", n - 2)), F.when(six, _at(5)).otherwise(F.get("f", n - 1))
+    low, high = F.least(a.cast("long"), b.cast("long")), F.greatest(a.cast("long"), b.cast("long"))
+    known = _must(rows, six | four, "a hotspot row of an unknown form")
+    out = known.select(F.when(six, _at(0)).otherwise(_at(1)).cast("int").alias("target"), F.when(six, _at(2)).otherwise(_at(0)).alias("contig"), low.alias("s"), high.alias("e"), (~six).alias("raw"))
+    return _must(out, (F.col("target") >= 1) & (F.col("s") >= 0) & (F.col("s") < F.col("e")), "a hotspot row without a positive index or interval")
+
+
+def read_assembly_list(spark: SparkSession, path: str) -> DataFrame:
+    """name and fasta of an assembly list, relative paths under the list's own folder. A name that comes twice fails the scan."""
+    lines = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("f")).where((_at(0) != "") & ~_at(0).startswith("#"))
+    rows = _must(lines, F.size("f").isin(2, 3), "an assembly list row of other than two or three fields").select(_at(0).alias("name"), _at(1).alias("file"))
+    counted = rows.withColumn("_n", F.count("*").over(Window.partitionBy("name")))
+    folder = path.rsplit("/", 1)[0]
+    return _must(counted, F.col("_n") == 1, "an assembly name that comes twice").select("name", F.when(F.col("file").startswith("/"), F.col("file")).otherwise(F.concat(F.lit(folder + "/"), "file")).alias("fasta"))
+
+
+def read_kmer_report(spark: SparkSession, path: str) -> DataFrame:
+    """Pairs of a k-mer comparison: a, b, common, only_a, only_b, var_a, var_b, as a long table."""
+    numbers = ("common", "only_a", "only_b", "var_a", "var_b")
+    return _fields(spark, path).where(F.try_to_number(_at(2), F.lit("S999999999999999999D999999999999")).isNotNull()).select(_at(0).alias("a"), _at(1).alias("b"), *[_at(i + 2).cast("double").alias(n) for i, n in enumerate(numbers)])
+
+
+def read_blacklist(spark: SparkSession, path: str) -> DataFrame:
+    """contig, s, e and name of excluded regions; a region without a name, or with a point, has none."""
+    return read_bed(spark, path).select("contig", "s", "e", F.nullif("name", F.lit(".")).alias("name"))
+
+
+def with_offsets(index: DataFrame, name: str = "name", length: str = "length") -> DataFrame:
+    """Contigs of an index with where they begin in their running total, in order of name: column begins. One row a contig."""
+    order = Window.orderBy(name).rowsBetween(Window.unboundedPreceding, 0)
+    return index.withColumn("begins", F.sum(length).over(order) - F.col(length))
+
+
+def fai_of(sequences: DataFrame, width: int = 60) -> DataFrame:
+    """The index of a FASTA file that write_fasta() makes in one part, records in order of name: name, length, offset, linebases, linewidth."""
+    n, head = F.length("sequence").cast("long"), F.octet_length("name").cast("long") + 2
+    size = head + n + F.greatest(F.ceil(n / width), F.lit(1))
+    order = Window.orderBy("name").rowsBetween(Window.unboundedPreceding, 0)
+    return sequences.select("name", n.alias("length"), (F.sum(size).over(order) - size + head).alias("offset"), F.lit(width).alias("linebases"), F.lit(width + 1).alias("linewidth"))
+
+
+def write_vcf(variants: DataFrame, calls: DataFrame, names: list[str], contigs: DataFrame, path: str, meta: list[str] = ()) -> None:
+    """Variant rows with a genotype column a sample, behind their header, in order of contig, position and id; part files in order of their names are the file.
+
+    variants: chrom, s (from 0), id, ref, alt, filter, info (text); calls: id, sample, call; contigs: name, length. A sample without a call has a point. Only here are calls brought side by side, a row at a time.
+    """
+    wide = calls.groupBy("id").pivot("sample", list(names)).agg(F.max("call"))
+    body = variants.join(wide, "id", "left")
+    cells = [F.coalesce(F.col(f"`{n}`"), F.lit(".")) for n in names]
+    line = F.concat_ws("\t", "chrom", (F.col("s") + 1).cast("string"), "id", "ref", "alt", F.lit("."), F.coalesce("filter", F.lit("PASS")), F.coalesce("info", F.lit(".")), F.lit("GT"), *cells)
+    spark = variants.sparkSession
+    columns = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *names])
+    head = spark.createDataFrame([(0, "##fileformat=VCFv4.2"), *[(1, m) for m in meta], (3, '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">'), (4, columns)], "o int, line string")
+    lines = head.select("o", F.lit("").alias("c"), F.lit(0).cast("long").alias("p"), "line")
+    lines = lines.unionAll(contigs.select(F.lit(2), F.col("name"), F.lit(0).cast("long"), F.concat(F.lit("##contig=<ID="), "name", F.lit(",length="), F.col("length").cast("string"), F.lit(">"))))
+    lines = lines.unionAll(body.select(F.lit(5), F.col("chrom"), F.col("s"), line))
+    write_lines(lines.orderBy("o", "c", "p", "line").select(F.col("line").alias("value")), path)
+
+
+def write_gaf(walks: DataFrame, path: str) -> None:
+    """Walks (sample, query, length, q0, q1, strand, steps: array of oriented segments, size: of the path) as GAF lines, in a folder a sample."""
+    covered = (F.col("q1") - F.col("q0")).cast("string")
+    text = [F.col(c).cast("string") for c in ("query", "length", "q0", "q1", "strand")]
+    line = F.concat_ws("\t", *text, F.array_join("steps", ""), F.col("size").cast("string"), F.lit("0"), F.col("size").cast("string"), covered, covered, F.lit("255"))
+    walks.select("sample", line.alias("value")).write.mode("errorifexists").partitionBy("sample").text(path)
+
+
+def write_routed(rows: DataFrame, chosen: DataFrame, node: str, parent: str, path: str) -> None:
+    """Rows of a tree in two tables: those of the chosen nodes and all below them under path/routed, the others under path/kept."""
+    from ..operators.variants import with_descendants
+
+    below = with_descendants(rows, node, parent, chosen).withColumnRenamed("node", node)
+    rows.join(below, node, "left_semi").write.mode("errorifexists").parquet(f"{path}/routed")
+    rows.join(below, node, "left_anti").write.mode("errorifexists").parquet(f"{path}/kept")
