@@ -31,7 +31,7 @@ from .tokens import worker_store
 #: Bands use the first BANDS x ROWS components, estimates use all.
 SHINGLE, BANDS, ROWS, COMPONENTS = 5, 16, 4, 128
 #: Members of a bucket that one task compares; anchors of a larger one, in each of so many rounds.
-BUCKET, ANCHORS, ANCHOR_ROUNDS = 256, 4, 2
+BUCKET, ANCHORS, ANCHOR_ROUNDS = 512, 4, 2
 #: Ids that are broadcast at most, 16 MB; beyond, the join shuffles.
 SENT_IDS = 2_000_000
 #: Bytes of text that a task handles at once, and words that a worker keeps hashes of.
@@ -376,15 +376,17 @@ class Links:
         self.parts = durable(connected_components(self.good), "bag-parts")
         return self.parts
 
-    def settle(self, groups: DataFrame) -> None:
-        """Look into groups (g, id) until the links that hold connect all that can be connected: a forest of candidates first, by signatures alone; groups where one of its edges failed then come
-        together with their texts, and every candidate that would still join two parts is checked there."""
-        checked, n_failed = self.check(self.look(groups, exact=False).distinct())
-        if not n_failed:
-            return
-        self.connect()
-        again = checked.where("NOT holds").select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        busy = groups.join(groups.join(again, "id", "left_semi").select("g").distinct(), "g", "left_semi")
+    def settle(self, groups: DataFrame, *, forest: bool = True) -> None:
+        """Look into groups (g, id) until the links that hold connect all that can be connected: a forest of candidates first; groups where one of its edges failed then come
+        together with their texts, and every candidate that would still join two parts is checked there. Without forest, all groups do."""
+        busy = groups
+        if forest:
+            checked, n_failed = self.check(self.look(groups, exact=False).distinct())
+            if not n_failed:
+                return
+            self.connect()
+            again = checked.where("NOT holds").select(F.explode(F.array("a", "b")).alias("id")).distinct()
+            busy = groups.join(groups.join(again, "id", "left_semi").select("g").distinct(), "g", "left_semi")
         found = durable(self.look(busy, exact=True), "bag-found")
         self.good = self.good.unionAll(found)
 
@@ -464,7 +466,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     if large is not None:
         tiles = leftover_tiles(large, links.connect())
         if not tiles.isEmpty():
-            links.settle(tiles)
+            links.settle(tiles, forest=False)
     found = connected_components(links.good.unionAll(same))
     members = durable(found.where("node <> component"), "bag-members", keep=True)
     packed = docs.select(whole_row(docs).alias("r")).withColumn("node", F.col("r").getField(key).cast("long"))
