@@ -32,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def text_batches(spark: SparkSession, rows: int = 2000) -> None:
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let batches of whole texts to Python hold at most `rows` rows in this session, so that memory follows a few texts.
 
     Spark bounds a batch's bytes itself. The setting stays, since results are lazy and read it when they run.
