@@ -46,10 +46,24 @@ def occurrences(df: DataFrame, keys: list[str] | None = None, cap: int | None =
     return df.groupBy(*(keys or []), "kmer").agg((F.least(n, F.lit(cap)) if cap else n).alias("n"))
 
 
-def frequent_filter(df: DataFrame, most: int) -> DataFrame:
-    """Occurrences of k-mers that occur at most `most` times. The counts of a hot k-mer combine before the shuffle; its rows meet only a join, which splits."""
-    rare = df.groupBy("kmer").agg(F.count("*").alias("_n")).where(F.col("_n") <= most).select("kmer")
-    return df.join(rare, "kmer", "left_semi")
+def frequent_filter(df: DataFrame, most: int, *, contig: str | None = None, span: int | None = None, flank: int = 10_000, length: str = "length") -> DataFrame:
+    """Occurrences of k-mers that occur at most `most` times. The counts of a hot k-mer combine before the shuffle; its rows meet only a join, which splits.
+
+    With `span`, k-mers go as well whose neighbourhoods, `flank` to either side inside their `contig` (whose length is a column), cover more than that together. Only k-mers with enough occurrences to reach it are looked at.
+    """
+    counts = df.groupBy("kmer").agg(F.count("*").alias("_n"))
+    rare = counts.where(F.col("_n") <= most).select("kmer")
+    kept = df.join(rare, "kmer", "left_semi")
+    return kept if span is None else kept.join(spread_kmers(df, counts.where((F.col("_n") <= most) & (F.col("_n") * (2 * flank) > span)), contig, span, flank, length), "kmer", "left_anti")
+
+
+def spread_kmers(df: DataFrame, among: DataFrame, contig: str, span: int, flank: int, length: str) -> DataFrame:
+    """Those k-mers of `among` whose neighbourhoods cover more than `span`: kmer. Both ends of a neighbourhood grow with its position, so each adds what lies beyond the one before it."""
+    low, high = F.greatest(F.col("pos") - flank, F.lit(0).cast("long")), F.least(F.col("pos") + flank, F.col(length).cast("long"))
+    places = df.join(among.select("kmer"), "kmer", "left_semi").select("kmer", F.col(contig).alias("_c"), low.alias("_s"), high.alias("_e"))
+    order = Window.partitionBy("kmer").orderBy("_c", "_s", "_e")
+    before = F.when(F.lag("_c").over(order).eqNullSafe(F.col("_c")), F.lag("_e").over(order))
+    return places.withColumn("_new", F.col("_e") - F.greatest("_s", before)).groupBy("kmer").agg(F.sum("_new").alias("_t")).where(F.col("_t") > span).select("kmer")
 
 
 def unique_per_block(df: DataFrame, block: Column) -> DataFrame:
@@ -95,7 +109,12 @@ def minimizers(df: DataFrame, keys: list[str], w: int, hashed: Column) -> DataFr
     return whole.withColumn("_best", best).where(F.col("h") <= F.col("_best")).select(*keys, "pos", "h")
 
 
-def match_matrix(counts: DataFrame, block: str, cap: int = 65535) -> DataFrame:
-    """Sum over shared k-mers of the product of two blocks' counts, saturating: b1 <= b2, score."""
+def match_matrix(counts: DataFrame, block: str, cap: int = 65535, *, single: float | None = None) -> DataFrame:
+    """Sum over shared k-mers of the product of two blocks' counts, saturating: b1 <= b2, score. With `single`, k-mers that occur once in all weigh that much in their block's own sum, rounded half up over the block."""
     a, b = counts.select("kmer", F.col(block).alias("b1"), F.col("n").alias("n1")), counts.select("kmer", F.col(block).alias("b2"), F.col("n").alias("n2"))
-    return a.join(b, "kmer").where("b1 <= b2").groupBy("b1", "b2").agg(F.least(F.sum(F.col("n1") * F.col("n2")), F.lit(cap)).alias("score"))
+    sums = a.join(b, "kmer").where("b1 <= b2").groupBy("b1", "b2").agg(F.sum(F.col("n1") * F.col("n2")).alias("score"))
+    if single is not None:  # each of them has counted as one above
+        alone = counts.groupBy("kmer").agg(F.sum("n").alias("_t"), F.min(block).alias("b1")).where("_t = 1").groupBy("b1").agg(F.count("*").alias("_c"))
+        less = F.when(F.col("b1") == F.col("b2"), F.col("_c") - F.floor(F.col("_c") * F.lit(float(single)) + 0.5))
+        sums = sums.join(alone, "b1", "left").withColumn("score", F.col("score") - F.coalesce(less, F.lit(0).cast("long")))
+    return sums.select("b1", "b2", F.least("score", F.lit(cap)).alias("score"))

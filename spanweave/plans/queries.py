@@ -369,6 +369,16 @@ def kmer_frequency_filter(spark, d):
     return kept.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
 
 
+@query(
+    f"""WITH {D}, {KMERS.format(k=8)}, R AS (SELECT kmer FROM K GROUP BY kmer HAVING count(*) <= 255), B AS (SELECT doc_id, length(t) AS b FROM D), H AS (SELECT kmer, doc_id, greatest(pos - 100, 0) AS s, least(pos + 100, b) AS e FROM K JOIN R USING (kmer) JOIN B USING (doc_id)),
+  {union_sql('u', 'H', 'kmer, doc_id')}, W AS (SELECT kmer FROM u GROUP BY kmer HAVING sum(e - s) <= 2000) SELECT doc_id, count(*) AS n, CAST(min(pos) AS BIGINT) AS first FROM K JOIN W USING (kmer) GROUP BY doc_id"""
+)
+def kmer_spread_filter(spark, d):
+    rows = letters(spark, d).withColumn("length", F.length("t"))
+    kept = kmers.frequent_filter(kmers.kmers(rows, "t", 8, ["doc_id", "length"]), 255, contig="doc_id", span=2000, flank=100)
+    return kept.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+
+
 @query(f"WITH {D}, {KMERS.format(k=8)}, U AS (SELECT kmer, min(pos) AS pos FROM K GROUP BY kmer HAVING count(*) = 1) SELECT CAST(pos // 1000 AS BIGINT) AS block, count(*) AS n FROM U GROUP BY 1")
 def kmer_unique_per_block(spark, d):
     return kmers.unique_per_block(kmers.kmers(letters(spark, d), "t", 8, ["doc_id"]), F.expr("pos div 1000"))
@@ -393,6 +403,17 @@ def kmer_match_matrix(spark, d):
     return kmers.match_matrix(counts, "source", 9_000_000)
 
 
+@query(
+    f"""WITH {D}, {KMERS.format(k=8)}, N AS (SELECT source, kmer, count(*) AS n FROM K GROUP BY source, kmer), S AS (SELECT kmer FROM N GROUP BY kmer HAVING sum(n) = 1),
+  P AS (SELECT a.source AS b1, b.source AS b2, sum(a.n * b.n) AS score FROM N a JOIN N b ON a.kmer = b.kmer AND a.source <= b.source WHERE a.kmer NOT IN (SELECT kmer FROM S) GROUP BY a.source, b.source),
+  O AS (SELECT source AS b1, source AS b2, CAST(floor(CAST(0.05 AS DOUBLE) * count(*) + 0.5) AS BIGINT) AS score FROM N WHERE kmer IN (SELECT kmer FROM S) GROUP BY source)
+SELECT b1, b2, CAST(least(sum(score), 9000000) AS BIGINT) AS score FROM (SELECT * FROM P UNION ALL SELECT * FROM O) z GROUP BY b1, b2"""
+)
+def kmer_block_match(spark, d):
+    counts = kmers.occurrences(kmers.kmers(letters(spark, d), "t", 8, ["source"]), ["source"])
+    return kmers.match_matrix(counts, "source", 9_000_000, single=0.05)
+
+
 @query(
     f"""WITH {D}, {KMERS.format(k=8)}, H AS (SELECT doc_id, pos, CAST('0x' || substr(md5(kmer), 1, 12) AS BIGINT) AS h FROM K),
   M AS (SELECT *, min(h) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS m, count(*) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS c, count(*) OVER (PARTITION BY doc_id) AS total FROM H),
