@@ -123,3 +123,19 @@ def literal_sequence(raw: Column) -> Column:
     copies = body.rlike(r"(^|\D)0*[1-9]\d*[=M]")
     bases = F.array_join(F.regexp_extract_all(body, F.lit(r"\d+[IXS]([A-Za-z]+?)(?=\d|\s|$)"), F.lit(1)), "")
     return F.when(raw.isNull() | raw.isin("", "."), F.lit(None)).when(~coded, unescape(raw)).when(copies, F.lit(None)).otherwise(bases)
+
+
+def meta_map(line: Column) -> Column:
+    """The key="value" pairs of a header line as a map; a backslash takes the next character as it is, the last of equal keys counts."""
+    pattern = r'(\w+)="((?:[^"\\]|\\.)*)"'
+    names, values = F.regexp_extract_all(line, F.lit(pattern), F.lit(1)), F.regexp_extract_all(line, F.lit(pattern), F.lit(2))
+    entries = F.arrays_zip(names.alias("k"), values.alias("v"))
+    last = F.filter(entries, lambda x, i: ~F.array_contains(F.slice(names, i + 2, F.size(names) + 1), x["k"]))
+    return F.map_from_arrays(F.transform(last, lambda x: x["k"]), F.transform(last, lambda x: F.regexp_replace(x["v"], r"\\(.)", "$1")))
+
+
+def scaled_memory(amount: Column, factor: Column) -> Column:
+    """An amount of memory (digits and a unit of K, M, G or T in either case, or none) times a factor in its own unit; null for other texts."""
+    bare = F.trim(amount)
+    times = F.regexp_extract(bare, r"^(\d+)", 1).try_cast("long") * factor
+    return F.when(bare.rlike(r"^\d+[KMGTkmgt]?$"), F.concat(times.cast("string"), F.upper(F.regexp_extract(bare, r"([KMGTkmgt]?)$", 1))))

@@ -316,3 +316,71 @@ def hours_by_phase(jobs: DataFrame, phase: str, seconds: str, waited: str, cpus:
     """Job accounting: jobs, run, CPU and queue hours of each phase, to 3 digits."""
     hours = lambda c: F.round(F.sum(c) / 3600, 3)
     return jobs.groupBy(phase).agg(F.count("*").alias("jobs"), hours(F.col(seconds)).alias("run_hours"), hours(F.col(seconds) * F.col(cpus)).alias("cpu_hours"), hours(F.col(waited)).alias("queue_hours"))
+
+
+def valid_segments(segments: DataFrame, regions: DataFrame, keys: Sequence[str], least: int, *, bin_width: int) -> DataFrame:
+    """Segments clipped to each valid region of their key, those of at least `least`: the segment's columns with q0, q1 and, in proportion, g0, g1 replaced, equal rows once. segments: q0, q1, g0, g1, strand; regions: s, e.
+
+    Graph ends are rounded outwards; on the minus strand they are counted from the segment's graph end.
+    """
+    met = overlap_join(segments.where("g0 < g1"), tidy(regions).select(*keys, "s", "e"), keys, bin_width=bin_width, a_ends=("q0", "q1"), b_ends=("s", "e"))
+    cut = met.withColumns({"_a": F.greatest("q0", "s"), "_b": F.least("q1", "e")}).where(F.col("_b") - F.col("_a") >= least)
+    low, high = F.expr("((_a - q0) * (g1 - g0)) div (q1 - q0)"), F.expr("((_b - q0) * (g1 - g0) + q1 - q0 - 1) div (q1 - q0)")
+    plus = F.col("strand") == "+"
+    placed = cut.withColumns({"_c": F.when(plus, F.col("g0") + low).otherwise(F.col("g1") - high), "_d": F.when(plus, F.col("g0") + high).otherwise(F.col("g1") - low)}).where("_c < _d")
+    replaced = {"q0": "_a", "q1": "_b", "g0": "_c", "g1": "_d"}
+    return placed.select(*[F.col(replaced.get(c, c)).alias(c) for c in segments.columns]).distinct()
+
+
+def best_representatives(hits: DataFrame, piece: str, hit: str) -> DataFrame:
+    """Of each piece the hit that covers most of it, ties to higher identity, target, place and strand: piece, target, s, e (the hull on the target), strand. hits: piece, hit, identity, target, strand, q0, q1, t0, t1, one row an interval."""
+    covered = union(hits, [piece, hit], "q0", "q1").groupBy(piece, hit).agg(F.sum(F.col("q1") - F.col("q0")).alias("_n"))
+    spans = hits.groupBy(piece, hit, "identity", "target", "strand").agg(F.min("t0").alias("s"), F.max("t1").alias("e"))
+    best = spans.join(covered, [piece, hit]).groupBy(piece).agg(F.max(F.struct("_n", "identity", "target", "s", "e", "strand")).alias("_b"))
+    return best.select(piece, "_b.target", "_b.s", "_b.e", "_b.strand")
+
+
+def ordered_catalog(pieces: DataFrame, priority: str, tie: Sequence[str], prefix: str) -> DataFrame:
+    """Pieces (s, e) named by their place in the order of falling priority, falling length, then `tie`: columns number, from 1, and name. Counts of each priority and length give the offsets, so no task numbers all rows."""
+    parted = pieces.withColumn("_part", F.struct((-F.coalesce(priority, F.lit(0))).alias("p"), (F.col("s") - F.col("e")).alias("n")))
+    return skipping_numbers(parted, "_part", tie, []).drop("_part").withColumn("name", F.concat(F.lit(prefix), F.lpad(F.col("number").cast("string"), 12, "0")))
+
+
+def hardness(copies: DataFrame, gaps: DataFrame, tracts: DataFrame, lengths: DataFrame, key: str, *, scale: float = 1000, seed_weight: float = 0.5, local_weight: float = 0.7, peak_weight: float = 0.75) -> DataFrame:
+    """How hard each key is to align: key, ambiguity, extent, seed_score, local_risk, hardness; null where there are no seeds or no callable bases.
+
+    copies: key, n (of each seed occurrence, over all keys); gaps: key, size (between unique seeds); tracts: key, size, severity; lengths: key, callable. A gap of size g weighs g²/(g + scale), a tract of size t with severity v
+    weighs v t/(v t + scale); half of the seed score is the mean of 1 - 1/n, half the weight of the gaps.
+    """
+    seeds = copies.groupBy(key).agg(F.avg(1 - 1 / F.col("n")).alias("ambiguity"))
+    open_ = gaps.groupBy(key).agg(F.sum(F.col("size") * F.col("size") / (F.col("size") + F.lit(float(scale)))).alias("_g"))
+    heavy = F.col("severity") * F.col("size")
+    risks = tracts.withColumn("_r", heavy / (heavy + F.lit(float(scale)))).groupBy(key).agg(F.sum(F.col("_r") * F.col("size")).alias("_m"), F.max("_r").alias("_p"))
+    rows = lengths.select(key, F.when(F.col("callable") > 0, F.col("callable")).alias("_n")).join(seeds, key, "left").join(open_, key, "left").join(risks, key, "left")
+    known = F.col("_n").isNotNull()
+    mean, peak = F.coalesce("_m", F.lit(0.0)) / F.col("_n"), F.when(known, F.coalesce("_p", F.lit(0.0)))
+    scored = rows.withColumn("extent", F.coalesce("_g", F.lit(0.0)) / F.col("_n")).withColumn("seed_score", 100 * (seed_weight * F.col("ambiguity") + (1 - seed_weight) * F.col("extent")))
+    scored = scored.withColumn("local_risk", (1 - peak_weight) * mean + peak_weight * peak)
+    return scored.withColumn("hardness", (1 - local_weight) * F.col("seed_score") + 100 * local_weight * F.col("local_risk")).select(key, "ambiguity", "extent", "seed_score", "local_risk", "hardness")
+
+
+def bracketed_gaps(df: DataFrame, contig: Sequence[str], same: Sequence[str]) -> DataFrame:
+    """Reference gaps between neighbouring primary anchors of a contig: contig, `same` (path and strands, equal on both sides), s, e.
+
+    df: q0, q1, r0, r1, kind, source, trimmed, anchored, forward, and the context of the row's alignment c0, c1 (query) and d0, d1 (reference). Two anchors bracket a gap if the query has nothing open between them: the second
+    begins where the first ends, or insertions of the same source, untrimmed and anchored, lead from one to the other; their contexts must overlap on both axes.
+    """
+    order = Window.partitionBy(*contig).orderBy("q0", "q1", "kind")
+    primary = F.col("kind") == "PRIMARY"
+    linked = (F.col("kind") == "INSERTION") & (F.lag("q1").over(order) == F.col("q0")) & (F.lag("source").over(order) == F.col("source")) & ~F.col("trimmed") & F.col("anchored")
+    rows = df.withColumn("_ok", F.coalesce(primary | linked, F.lit(False))).withColumn("_p", F.sum(primary.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("_p > 0")
+    fields = [*same, "q0", "q1", "r0", "r1", "source", "forward", "c0", "c1", "d0", "d1"]
+    anchors = rows.groupBy(*contig, "_p").agg(F.max(F.when(primary, F.struct(*fields))).alias("a"), F.bool_and("_ok").alias("_ok"), F.max("q1").alias("_reach"))
+    following = F.lead("a").over(Window.partitionBy(*contig).orderBy("_p"))
+    pairs = anchors.withColumn("b", following).where(F.col("_ok") & (F.col("b.q0") == F.col("_reach")) & ((F.col("_reach") == F.col("a.q1")) | (F.col("a.source") == F.col("b.source"))))
+    for c in same:
+        pairs = pairs.where(F.col(f"a.{c}") == F.col(f"b.{c}"))
+    meet = (F.greatest("a.c0", "b.c0") < F.least("a.c1", "b.c1")) & (F.greatest("a.d0", "b.d0") < F.least("a.d1", "b.d1"))
+    s = F.when(F.col("a.forward"), F.col("a.r1")).otherwise(F.when(F.col("b.forward"), F.col("b.r0")).otherwise(F.col("b.r1")))
+    e = F.when(F.col("a.forward"), F.when(F.col("b.forward"), F.col("b.r0")).otherwise(F.col("b.r1"))).otherwise(F.col("a.r0"))
+    return pairs.where(meet).select(*contig, *[F.col(f"a.{c}").alias(c) for c in same], s.alias("s"), e.alias("e")).where("s < e")

@@ -1,7 +1,7 @@
 """Set algebra over half-open integer intervals, per key.
 
 Every operator takes the names of its key, start and end columns. Coordinates are 0-based, half-open, BIGINT. Intervals with reversed ends are turned round and empty ones
-dropped. Unions run in two levels: first inside (key, bin of the start), which many tasks share however hot a key is, then over the few islands that are left of a key.
+dropped. Unions, sweeps and run joining work in two levels: first inside (key, bin of the position), which many tasks share however hot a key is, then over what a bin leaves: its islands, its sums, its first and last run.
 """
 
 from __future__ import annotations
@@ -37,12 +37,20 @@ def union(df: DataFrame, keys: Sequence[str], start: str = "s", end: str = "e",
     return islands(local, keys, start, end, breaks)
 
 
-def sweep(df: DataFrame, keys: Sequence[str], deltas: Sequence[str], at: str = "x") -> DataFrame:
-    """Cells between consecutive event positions: keys, s, e and the running sum of each delta. Events at one position are summed before the window."""
-    events = df.groupBy(*keys, at).agg(*[F.sum(d).alias(d) for d in deltas])
-    order = Window.partitionBy(*keys).orderBy(at)
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    return events.select(*keys, F.col(at).alias("s"), F.lead(at).over(order).alias("e"), *[F.sum(d).over(running).alias(d) for d in deltas]).where("e IS NOT NULL")
+def sweep(df: DataFrame, keys: Sequence[str], deltas: Sequence[str], at: str = "x", *, bin_width: int = BIN) -> DataFrame:
+    """Cells between consecutive event positions: keys, s, e and the running sum of each delta. Events at one position are summed before the windows.
+
+    The running sums are made inside (key, bin); what the bins before hold comes from one row a bin, so a hot key is spread over its bins. Null keys are a key of their own.
+    """
+    events = df.groupBy(*keys, at).agg(*[F.sum(d).alias(d) for d in deltas]).withColumn("_k", F.struct(*keys, F.expr(f"`{at}` div {bin_width}").alias("_bin")))
+    bins = events.groupBy("_k").agg(F.min(at).alias("_first"), *[F.sum(d).alias(f"_t{i}") for i, d in enumerate(deltas)])
+    by_bin = Window.partitionBy(*[F.col(f"_k.`{k}`") for k in keys]).orderBy("_k._bin")
+    before = by_bin.rowsBetween(Window.unboundedPreceding, -1)
+    carried = bins.select("_k", F.lead("_first").over(by_bin).alias("_next"), *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_c{i}") for i in range(len(deltas))])
+    inside = Window.partitionBy("_k").orderBy(at)
+    running = inside.rowsBetween(Window.unboundedPreceding, 0)
+    cells = events.select("_k", *keys, F.col(at).alias("s"), F.lead(at).over(inside).alias("_e"), *[F.sum(d).over(running).alias(d) for d in deltas]).join(carried, "_k")
+    return cells.select(*keys, "s", F.coalesce("_e", "_next").alias("e"), *[(F.col(d) + F.col(f"_c{i}")).alias(d) for i, d in enumerate(deltas)]).where("e IS NOT NULL")
 
 
 def events_of(df: DataFrame, keys: Sequence[str], start: str, end: str, deltas: dict[str, int]) -> DataFrame:
@@ -51,8 +59,7 @@ def events_of(df: DataFrame, keys: Sequence[str], start: str, end: str, deltas:
     return up.unionAll(down)
 
 
-def coalesce_runs(df: DataFrame, keys: Sequence[str], same: Sequence[str], start: str = "s", end: str = "e") -> DataFrame:
-    """Join touching rows that agree on the `same` columns."""
+def joined_runs(df: DataFrame, keys: Sequence[str], same: Sequence[str], start: str, end: str) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy(start)
     unchanged = F.lag(end).over(order) == F.col(start)
     for c in same:
@@ -61,6 +68,19 @@ def coalesce_runs(df: DataFrame, keys: Sequence[str], same: Sequence[str], start
     return marked.groupBy(*keys, "_i", *same).agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_i")
 
 
+def coalesce_runs(df: DataFrame, keys: Sequence[str], same: Sequence[str], start: str = "s", end: str = "e", *, bin_width: int = BIN) -> DataFrame:
+    """Join touching rows that agree on the `same` columns. The rows of a key must be disjoint.
+
+    Rows are joined inside (key, bin of the start); after that only the first and the last run of a bin can touch a run of another bin, so only these meet in one window a key.
+    """
+    here = [*keys, "_bin"]
+    local = joined_runs(df.select(*keys, *same, start, end, F.expr(f"`{start}` div {bin_width}").alias("_bin")), here, same, start, end)
+    order = Window.partitionBy(*here).orderBy(start)
+    local = local.withColumn("_edge", F.lag(start).over(order).isNull() | F.lead(start).over(order).isNull())
+    columns = [*keys, *same, start, end]
+    return local.where("NOT _edge").select(*columns).unionAll(joined_runs(local.where("_edge"), keys, same, start, end).select(*columns))
+
+
 def two_sides(a: DataFrame, b: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
     left = events_of(union(a, keys, start, end), keys, start, end, {"a": 1, "b": 0})
     return sweep(left.unionAll(events_of(union(b, keys, start, end), keys, start, end, {"a": 0, "b": 1})), keys, ["a", "b"])

@@ -7,14 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import union
+from .intervals import BIN, union
 
 
-def hotspots(df: DataFrame, keys: Sequence[str], at: str, hits: int, window: int, *, width: int = 1) -> DataFrame:
-    """Spans where `hits` consecutive hits lie within less than `window`, joined if less than `window` apart: keys, s, e."""
-    order = Window.partitionBy(*keys).orderBy(at)
-    first = F.lag(at, hits - 1).over(order)
-    dense = df.withColumn("_first", first).where(F.col(at) - F.col("_first") < window)
+def hotspots(df: DataFrame, keys: Sequence[str], at: str, hits: int, window: int, *, width: int = 1, bin_width: int = BIN) -> DataFrame:
+    """Spans where `hits` consecutive hits lie within less than `window`, joined if less than `window` apart: keys, s, e.
+
+    A hit also goes into the bin that begins less than `window` behind it, so every bin holds all hits that can be the first of a dense run ending there; a hot key is spread over its bins.
+    """
+    bins = F.sequence(F.expr(f"`{at}` div {max(bin_width, window)}"), F.expr(f"(`{at}` + {window - 1}) div {max(bin_width, window)}"))
+    order = Window.partitionBy(*keys, "_bin").orderBy(at)
+    seen = df.select(*keys, at, F.explode(bins).alias("_bin")).withColumn("_first", F.lag(at, hits - 1).over(order))
+    dense = seen.where((F.col("_bin") == F.expr(f"`{at}` div {max(bin_width, window)}")) & (F.col(at) - F.col("_first") < window))
     return union(dense.select(*keys, F.col("_first").alias("s"), (F.col(at) + width).alias("e")), keys, gap=window, strict=True)
 
 

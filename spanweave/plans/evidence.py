@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import sequences, text
-from ..operators import evidence, kmers
+from ..functions import cigar, sequences, text
+from ..operators import evidence, kmers, windows
+from ..operators.intervals import union
 from ..sources import files
 from .queries import DAYS, breaks_sql, query
 from .tables import D, L, cells_sql, coalesce_sql, letters, shipments, spans_of_days, table, union_sql
@@ -334,3 +335,117 @@ def literal_sequences(spark, d):
     coded = F.concat(F.lit("<s1:3IACG2D>"), F.col("n").cast("string"), F.lit("I"), F.repeat(F.lit("T"), F.col("n")))
     raw = F.when(F.col("p_partkey") % 3 == 0, F.col("b")).when(F.col("p_partkey") % 3 == 1, coded).otherwise(F.lit("<s1:4="))
     return rows.select("p_partkey", text.literal_sequence(raw).alias("bases"))
+
+
+# Scores of alignments
+
+CIGAR_COLUMNS = "l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS q, CAST(l_linenumber AS BIGINT) AS l, CAST(l_suppkey % 9 + 1 AS BIGINT) AS i, CAST(l_partkey % 7 + 1 AS BIGINT) AS r"
+
+
+def edited(spark, d):
+    """Alignments of l matches, l mismatches, an insertion in two tokens parted by H, and a deletion."""
+    rows = table(spark, d, "lineitem").selectExpr(*[c for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], "CAST(l_quantity AS BIGINT) AS q", "CAST(l_linenumber AS BIGINT) AS l", "CAST(l_suppkey % 9 + 1 AS BIGINT) AS i", "CAST(l_partkey % 7 + 1 AS BIGINT) AS r")
+    return rows.withColumn("c", F.expr("concat(q, 'M', l, 'XAC', i, 'I5H1I', r, 'D')"))
+
+
+@query(
+    f"""WITH C AS (SELECT {CIGAR_COLUMNS} FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 4 * q - 8 * l - 24 - 8 * (i + 1) - 24 - 8 * r AS pair_score, q - 4 * l - 4 - i - 4 - (r - 1) AS repair_score,
+  CAST(round(4 * q - 8 * l - (24 + 8 * (i + 1) + 160 * log2(length(regexp_replace(substring(repeat('aCg', 40), q + l + 1, i + 1), '[^a-z]', '', 'g')) + 1)) - (24 + 8 * r + 160 * log2(length(regexp_replace(substring(repeat('TtA', 40), q + l + 1, r), '[^a-z]', '', 'g')) + 1)), 6) AS DOUBLE) AS masked_score FROM C"""
+)
+def objective_scores(spark, d):
+    c = F.col("c")
+    masked = cigar.masked_gap_score(c, F.lit("TtA" * 40), F.lit("aCg" * 40))
+    return edited(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cigar.pair_score(c).alias("pair_score"), cigar.repair_score(c).alias("repair_score"), F.round(masked, 6).alias("masked_score"))
+
+
+@query(
+    f"""WITH C AS (SELECT {CIGAR_COLUMNS} FROM lineitem), g AS (SELECT *, 12 + 100 * log2(i * 3) AS cost FROM C), t AS (SELECT *, CASE WHEN 4 * q > 100 THEN 0 WHEN 4 * q < cost THEN 2 ELSE 0 END AS a, CASE WHEN 16 * r > 100 THEN 3 WHEN 16 * r < cost THEN 1 ELSE 3 END AS b FROM g)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN a < b THEN CASE a WHEN 0 THEN 3 ELSE 3 + q + i * 3 END END AS q0, CASE WHEN a < b THEN CASE b WHEN 1 THEN 3 + q ELSE 3 + q + i * 3 + 4 * r END END AS q1,
+  CASE WHEN a < b THEN CASE a WHEN 0 THEN 0 ELSE q END END AS r0, CASE WHEN a < b THEN CASE b WHEN 1 THEN q ELSE q + 4 * r END END AS r1,
+  CASE WHEN a < b THEN CASE WHEN a = 0 THEN q || '=' ELSE '' END || CASE WHEN a = 0 AND b = 3 THEN i * 3 || 'I' ELSE '' END || CASE WHEN b = 3 THEN 4 * r || '=' ELSE '' END END AS cigar FROM t"""
+)
+def confident_parts(spark, d):
+    """An insertion between two matches; the weaker side goes, or both."""
+    rows = edited(spark, d).withColumn("p", cigar.confident_part(F.expr("concat('3I', q, '=', i * 3, 'I', r * 4, '=2X')")))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p.*")
+
+
+# Segments, representatives, catalogs and hardness
+
+
+@query(
+    f"""WITH {L}, S AS (SELECT DISTINCT k, s AS q0, e AS q1, s * 3 + k % 5 AS g0, s * 3 + k % 5 + (e - s) * 2 + 1 AS g1, CASE WHEN supp % 2 = 0 THEN '+' ELSE '-' END AS strand FROM L WHERE flag <> 'R'), V AS (SELECT k, s, e FROM L WHERE flag = 'R'), {union_sql('u', 'V', 'k')},
+  c AS (SELECT S.*, greatest(q0, s) AS a, least(q1, e) AS b FROM S JOIN u USING (k) WHERE q0 < u.e AND u.s < q1),
+  x AS (SELECT *, ((a - q0) * (g1 - g0)) // (q1 - q0) AS low, ((b - q0) * (g1 - g0) + q1 - q0 - 1) // (q1 - q0) AS high FROM c WHERE b - a >= 4)
+SELECT DISTINCT k, a AS q0, b AS q1, CASE strand WHEN '+' THEN g0 + low ELSE g1 - high END AS g0, CASE strand WHEN '+' THEN g0 + high ELSE g1 - low END AS g1, strand FROM x"""
+)
+def valid_segments(spark, d):
+    rows = spans_of_days(spark, d)
+    strand = F.when(F.col("supp") % 2 == 0, "+").otherwise("-")
+    segments = rows.where("flag <> 'R'").select("k", F.col("s").alias("q0"), F.col("e").alias("q1"), F.expr("s * 3 + k % 5").alias("g0"), F.expr("s * 3 + k % 5 + (e - s) * 2 + 1").alias("g1"), strand.alias("strand"))
+    return evidence.valid_segments(segments, union(rows.where("flag = 'R'"), ["k"]), ["k"], 4, bin_width=DAYS)
+
+
+@query(
+    f"""WITH {L}, H AS (SELECT k, supp, s, e, s + supp AS t0, e + supp AS t1 FROM L), {union_sql('u', 'H', 'k, supp')}, n AS (SELECT k, supp, sum(e - s) AS n FROM u GROUP BY k, supp), t AS (SELECT k, supp, min(t0) AS s, max(t1) AS e FROM H GROUP BY k, supp),
+  r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, supp % 7 DESC, supp % 3 DESC, s DESC, e DESC) AS o FROM n JOIN t USING (k, supp)) SELECT k, supp % 3 AS target, s, e, '+' AS strand FROM r WHERE o = 1"""
+)
+def best_representatives(spark, d):
+    rows = spans_of_days(spark, d)
+    hits = rows.select("k", "supp", (F.col("supp") % 7).alias("identity"), (F.col("supp") % 3).alias("target"), F.lit("+").alias("strand"), F.col("s").alias("q0"), F.col("e").alias("q1"), (F.col("s") + F.col("supp")).alias("t0"), (F.col("e") + F.col("supp")).alias("t1"))
+    return evidence.best_representatives(hits, "k", "supp")
+
+
+@query(f"WITH {L}, n AS (SELECT k, id, s, e, row_number() OVER (ORDER BY CASE flag WHEN 'A' THEN 2 WHEN 'N' THEN 1 ELSE 0 END DESC, e - s DESC, k, id) AS number FROM L) SELECT *, 'novel_' || lpad(CAST(number AS VARCHAR), 12, '0') AS name FROM n")
+def ordered_catalog(spark, d):
+    pieces = shipments(spark, d).select("k", "id", "s", "e", F.when(F.col("flag") == "A", 2).when(F.col("flag") == "N", 1).alias("priority"))
+    return evidence.ordered_catalog(pieces, "priority", ["k", "id"], "novel_").drop("priority")
+
+
+@query(
+    f"""WITH {L}, {union_sql('u', 'L', 'k')}, g AS (SELECT * FROM (SELECT k, lead(s) OVER (PARTITION BY k ORDER BY s) - e AS size FROM u) z WHERE size IS NOT NULL), c AS (SELECT k, 1 - 1.0 / count(*) OVER (PARTITION BY supp, flag) AS w FROM L),
+  a AS (SELECT k, avg(w) AS ambiguity FROM c GROUP BY k), x AS (SELECT k, sum(CAST(size AS DOUBLE) * size / (size + 100)) AS g FROM g GROUP BY k), n AS (SELECT k, max(e) - min(s) AS n FROM L GROUP BY k),
+  t AS (SELECT k, sum(size * risk) AS m, max(risk) AS p FROM (SELECT k, e - s AS size, (k % 10) / 10.0 * (e - s) / ((k % 10) / 10.0 * (e - s) + 100) AS risk FROM L WHERE flag = 'R') z GROUP BY k),
+  s AS (SELECT k, ambiguity, coalesce(g, 0) / n AS extent, 100 * (0.5 * ambiguity + 0.5 * coalesce(g, 0) / n) AS seed_score, 0.25 * coalesce(m, 0) / n + 0.75 * coalesce(p, 0) AS local_risk FROM n LEFT JOIN a USING (k) LEFT JOIN x USING (k) LEFT JOIN t USING (k))
+SELECT k, CAST(round(ambiguity, 6) AS DOUBLE) AS ambiguity, CAST(round(extent, 6) AS DOUBLE) AS extent, CAST(round(seed_score, 6) AS DOUBLE) AS seed_score, CAST(round(local_risk, 6) AS DOUBLE) AS local_risk, CAST(round(0.3 * seed_score + 70 * local_risk, 6) AS DOUBLE) AS hardness FROM s"""
+)
+def hardness(spark, d):
+    """Suppliers' flags as seeds, the gaps of a part's days, its returned shipments as tracts."""
+    rows = spans_of_days(spark, d)
+    copies = rows.join(rows.groupBy("supp", "flag").agg(F.count("*").alias("n")), ["supp", "flag"]).select("k", "n")
+    gaps = windows.gaps_between(rows, ["k"]).select("k", (F.col("e") - F.col("s")).alias("size"))
+    tracts = rows.where("flag = 'R'").select("k", (F.col("e") - F.col("s")).alias("size"), (F.col("k") % 10 / 10).alias("severity"))
+    lengths = rows.groupBy("k").agg((F.max("e") - F.min("s")).alias("callable"))
+    scored = evidence.hardness(copies, gaps, tracts, lengths, "k", scale=100)
+    return scored.select("k", *[F.round(c, 6).alias(c) for c in scored.columns if c != "k"])
+
+
+@query(
+    f"""WITH {L}, x AS (SELECT DISTINCT supp, x FROM (SELECT supp, s AS x FROM L UNION ALL SELECT supp, e FROM L) z), q AS (SELECT * FROM (SELECT supp, x AS q0, lead(x) OVER (PARTITION BY supp ORDER BY x) AS q1 FROM x) z WHERE q1 IS NOT NULL),
+  r AS (SELECT *, CASE WHEN q0 % 11 = 0 THEN 'OTHER' WHEN q0 % 4 = 1 THEN 'INSERTION' ELSE 'PRIMARY' END AS kind, q0 // 200 AS source, q0 % 2 = 0 AS forward FROM q),
+  o AS (SELECT *, coalesce(kind = 'PRIMARY' OR kind = 'INSERTION' AND lag(q1) OVER w = q0 AND lag(source) OVER w = source AND q0 % 5 <> 0, FALSE) AS ok, sum(CASE WHEN kind = 'PRIMARY' THEN 1 ELSE 0 END) OVER (PARTITION BY supp ORDER BY q0 ROWS UNBOUNDED PRECEDING) AS p FROM r WINDOW w AS (PARTITION BY supp ORDER BY q0)),
+  g AS (SELECT supp, p, bool_and(ok) AS ok, max(q1) AS reach, min(q0) AS q0, arg_min(q1, q0) AS q1, arg_min(source, q0) AS source, arg_min(forward, q0) AS forward FROM o WHERE p > 0 GROUP BY supp, p),
+  n AS (SELECT *, lead(q0) OVER v AS nq, lead(q1) OVER v AS nq1, lead(source) OVER v AS ns, lead(forward) OVER v AS nf FROM g WINDOW v AS (PARTITION BY supp ORDER BY p)),
+  y AS (SELECT supp, CASE WHEN forward THEN q1 * 2 ELSE q0 * 2 END AS a, CASE WHEN nf THEN nq * 2 ELSE nq1 * 2 END AS b, forward FROM n WHERE ok AND nq = reach AND (reach = q1 OR source = ns) AND greatest(q0, nq) - 3 < least(q1, nq1) + 3 AND greatest(q0 * 2, nq * 2) - 30 < least(q1 * 2, nq1 * 2) + 30)
+SELECT supp, 1 AS path, CASE WHEN forward THEN a ELSE b END AS s, CASE WHEN forward THEN b ELSE a END AS e FROM y WHERE forward AND b > a OR NOT forward AND b < a"""
+)
+def bracketed_gaps(spark, d):
+    """Touching pieces of the days of a supplier's shipments as anchors, insertions and others."""
+    u = spans_of_days(spark, d).select("supp", F.explode(F.array("s", "e")).alias("x")).distinct()
+    cells = u.select("supp", F.col("x").alias("q0"), F.lead("x").over(Window.partitionBy("supp").orderBy("x")).alias("q1")).where("q1 IS NOT NULL")
+    kind = F.when(F.col("q0") % 11 == 0, "OTHER").when(F.col("q0") % 4 == 1, "INSERTION").otherwise("PRIMARY")
+    rows = cells.withColumn("kind", kind).selectExpr(
+        "*", "q0 * 2 AS r0", "q1 * 2 AS r1", "q0 div 200 AS source", "q0 % 5 = 0 AS trimmed", "true AS anchored", "q0 % 2 = 0 AS forward", "1 AS path", "q0 - 3 AS c0", "q1 + 3 AS c1", "q0 * 2 - 30 AS d0", "q1 * 2 + 30 AS d1"
+    )
+    return evidence.bracketed_gaps(rows, ["supp"], ["path"])
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'a "b' END AS brand, CAST(p_size AS VARCHAR) AS size, CAST(p_size * 3 AS VARCHAR) || CASE p_partkey % 3 WHEN 0 THEN 'G' WHEN 1 THEN '' ELSE 'M' END AS memory FROM part""")
+def header_fields(spark, d):
+    """Header lines with a quoted quote and a repeated key, and memory sizes."""
+    rows = table(spark, d, "part")
+    brand = F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise(F.lit('a \\"b'))
+    line = F.concat(F.lit('##row=<size="0",brand="'), brand, F.lit('",size="'), F.col("p_size").cast("string"), F.lit('">'))
+    unit = F.when(F.col("p_partkey") % 3 == 0, "g").when(F.col("p_partkey") % 3 == 1, "").otherwise("M ")
+    read = rows.select("p_partkey", text.meta_map(line).alias("m"), text.scaled_memory(F.concat(F.col("p_size").cast("string"), unit), F.lit(3)).alias("memory"))
+    return read.select("p_partkey", F.col("m")["brand"].alias("brand"), F.col("m")["size"].alias("size"), "memory")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from spanweave.functions import cigar
 from spanweave.operators import graph, intervals, joins, segments, variants, windows
 
 IV = "k string, s long, e long"
@@ -167,3 +169,80 @@ def test_missing_links_know_the_steps_of_all_other_walks(spark):
     got = {(r["a"], r["b"]): r["n"] for r in QUERIES["missing_links"](spark, d).collect()}
     assert got == {pair: len(by) for pair, by in taken.items() if len(set(by)) == 1}
     assert 0 < len(got) < len(taken)
+
+
+@pytest.mark.parametrize("width", [7, 64, 1 << 14])
+def test_sweeps_and_runs_over_bins(spark, width):
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "b", None]), s := rng.randrange(-50, 400), s + rng.randrange(1, 60)) for _ in range(200)]
+    df = spark.createDataFrame(rows, "k string, s long, e long")
+    want = []
+    for k in ("a", "b", None):
+        mine = [(s, e) for key, s, e in rows if key == k]
+        for x in range(min(s for s, _ in mine), max(e for _, e in mine)):
+            depth = sum(s <= x < e for s, e in mine)
+            if want and want[-1][0] == k and want[-1][3] == depth:
+                want[-1][2] = x + 1
+            else:
+                want.append([k, x, x + 1, depth])
+    cells = intervals.sweep(intervals.events_of(df, ["k"], "s", "e", {"depth": 1}), ["k"], ["depth"], bin_width=width)
+    got = intervals.coalesce_runs(cells, ["k"], ["depth"], bin_width=width).select("k", "s", "e", "depth").collect()
+    assert sorted(map(str, map(list, got))) == sorted(map(str, want))
+
+
+def test_hotspots_over_bins(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", None]), rng.randrange(-200, 1500)) for _ in range(250)]
+    dense = set()
+    for k in ("a", None):
+        at = sorted(x for key, x in rows if key == k)
+        dense |= {(k, a, b + 1) for a, b in zip(at, at[3:]) if b - a < 20}
+    want = intervals.union(spark.createDataFrame(sorted(dense, key=str), "k string, s long, e long"), ["k"], gap=20, strict=True).collect()
+    for width in (1, 33, 1 << 14):
+        got = windows.hotspots(spark.createDataFrame(rows, "k string, x long"), ["k"], "x", 4, 20, bin_width=width).collect()
+        assert sorted(map(str, got)) == sorted(map(str, want)) and want
+
+
+def confident_plainly(ops):
+    """Runs (n, op), joined already; the indices that stay."""
+    where = [i for i, (_, op) in enumerate(ops) if op == "="]
+    if not where:
+        return None
+    worth = lambda n, op: {"=": 4 * n, "X": -8 * n}.get(op, -(12 + 100 * math.log2(n)) if op in "ID" else 0)
+    cuts = []
+    for inner in (range(where[0], where[-1] + 1), range(where[-1], where[0] - 1, -1)):
+        total, cut = 0.0, inner[0]
+        for i in inner:
+            total += worth(*ops[i])
+            if total < 0:
+                total, cut = 0.0, i + inner.step
+            elif total > 100:
+                break
+        cuts.append(cut)
+    return (cuts[0], cuts[1]) if cuts[0] <= cuts[1] else None
+
+
+def test_confident_parts_against_a_walk(spark):
+    rng, cases = random.Random(3), []
+    for _ in range(300):
+        ops = []
+        for _ in range(rng.randrange(1, 12)):
+            op = rng.choice([o for o in "==XIDNS" if not ops or o != ops[-1][1]])
+            ops.append((rng.choice([1, 2, 5, 20, 40]), op))
+        cases.append(ops)
+    df = spark.createDataFrame([(i, "".join(f"{n}{op}" + rng.choice(["", "0D", "3H"]) for n, op in ops)) for i, ops in enumerate(cases)], "id long, c string")
+    got = {r["id"]: r["p"] for r in df.select("id", cigar.confident_part(F.col("c")).alias("p")).collect()}
+    for i, ops in enumerate(cases):
+        want = confident_plainly(ops)
+        if want is None:
+            assert got[i] is None
+            continue
+        used = lambda part, kinds: sum(n for n, op in part if op in kinds)
+        head, kept = ops[: want[0]], ops[want[0] : want[1] + 1]
+        q0, r0 = used(head, "=XIS"), used(head, "=XDN")
+        assert tuple(got[i]) == (q0, q0 + used(kept, "=XIS"), r0, r0 + used(kept, "=XDN"), "".join(f"{n}{op}" for n, op in kept))
+
+
+def test_scores_beyond_a_sequence_are_null(spark):
+    df = spark.createDataFrame([("3=2I", "ACG", "ACGTT"), ("3=2I", "ACG", "ACGT"), ("3=1S", "ACG", "ACGT"), ("4=", "ACG", "ACGT"), (None, "A", "A"), ("", "A", "A")], "c string, r string, q string")
+    assert [r[0] for r in df.select(cigar.masked_gap_score(F.col("c"), F.col("r"), F.col("q"))).collect()] == [12 - 24 - 16, None, None, None, None, 0]
