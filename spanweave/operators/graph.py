@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import settled
+from ..sources.scratch import last_path, settled
 from .intervals import cells_of
 
 
@@ -47,14 +47,15 @@ def preblocks(df: DataFrame, keys: Sequence[str], gap: int, *, start: str = "s",
 
 def components(pairs: DataFrame, most: int = 64) -> DataFrame:
     """The smallest id each node of the pairs (a, b) reaches: node, component. Each round takes the least label among neighbours and then that label's own label; it ends when the sum of labels stands still."""
-    both = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = settled(pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
-    mark = None
+    mark, old = None, []
     for _ in range(most):
         met = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("lb")), "b").groupBy(F.col("a").alias("node")).agg(F.min("lb").alias("lb"))
         hooked = labels.join(met, "node").select("node", F.least("component", "lb").alias("component"))
         jumped = hooked.join(hooked.select(F.col("node").alias("component"), F.col("component").alias("c2")), "component", "left").select("node", F.least("component", "c2").alias("component"))
-        labels = settled(jumped)
+        labels = settled(jumped, old)
+        old = [last_path()]
         now = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
         if now == mark:
             return labels

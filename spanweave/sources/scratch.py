@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
@@ -33,13 +34,30 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def release() -> None:
     context = SparkContext._active_spark_context
     for p in _MADE if context is not None else ():
-        path = context._jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        remove(context, p)
     _MADE.clear()
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once, in the shared folder, so that rounds do not repeat one another and survive lost executors."""
-    if not df.sparkSession.sparkContext.getCheckpointDir():
-        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+def remove(context: SparkContext, path: str) -> None:
+    """Delete a table from whatever store holds it."""
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def settled(df: DataFrame, then: Sequence[str] = ()) -> DataFrame:
+    """df computed once, as Parquet in the shared folder, so that rounds do not repeat one another and survive lost executors. Tables at the paths `then` go afterwards.
+
+    A checkpoint would carry on the size that the planner derives for its plan. A join's is the product of its sides', so over rounds it becomes a number of so many digits that the driver runs out of memory; a file's size is its own.
+    """
+    spark, schema = df.sparkSession, df.schema
+    path = fresh_path(spark, "settled")
+    df.write.parquet(path)
+    for p in then:
+        remove(spark.sparkContext, p)
+        _MADE.remove(p)
+    return spark.read.schema(schema).parquet(path)
+
+
+def last_path() -> str:
+    """Where the table of the last settled() lies."""
+    return _MADE[-1]

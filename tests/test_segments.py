@@ -246,3 +246,11 @@ def test_confident_parts_against_a_walk(spark):
 def test_scores_beyond_a_sequence_are_null(spark):
     df = spark.createDataFrame([("3=2I", "ACG", "ACGTT"), ("3=2I", "ACG", "ACGT"), ("3=1S", "ACG", "ACGT"), ("4=", "ACG", "ACGT"), (None, "A", "A"), ("", "A", "A")], "c string, r string, q string")
     assert [r[0] for r in df.select(cigar.masked_gap_score(F.col("c"), F.col("r"), F.col("q"))).collect()] == [12 - 24 - 16, None, None, None, None, 0]
+
+
+def test_components_hand_the_planner_small_sizes(spark):
+    """A size derived over rounds of joins grew to a number of so many digits that the driver ran out of memory."""
+    chain = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    labels = graph.components(chain)
+    assert len(str(labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 10
+    assert {r["component"] for r in labels.collect()} == {0}
