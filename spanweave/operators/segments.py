@@ -34,6 +34,29 @@ def grouped(df: DataFrame, keys: Sequence[str], columns: dict[str, str], functio
     return df.withColumn("_g", F.expr(f"part div {together}")).groupBy(*keys, "_g").applyInPandas(run, schema)
 
 
+def walked(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, str], step) -> DataFrame:
+    """Walk rows in order, as parted() made them: step(state, start of a part?, values of `order`) gives the new state and the values of the new columns, given with their types.
+
+    The window of parted() has brought a key's rows together in order, so one pass a task does it: no call a group, and only the state is held, however long a part is.
+    """
+    schema = T.StructType([*df.schema.fields, *[T.StructField(c, T._parse_datatype_string(t)) for c, t in columns.items()]])
+    first = F.row_number().over(Window.partitionBy(*keys, "part").orderBy(*order)) == 1
+
+    def run(batches):
+        state = None
+        for pdf in batches:
+            found = []
+            for new, *values in zip(pdf["_first"].tolist(), *[pdf[c].tolist() for c in order]):
+                state, made = step(state, new, *values)
+                found.append(made)
+            pdf = pdf.drop(columns="_first")
+            for i, c in enumerate(columns):
+                pdf[c] = np.array([f[i] for f in found], "int64")
+            yield pdf
+
+    return df.withColumn("_first", first).mapInPandas(run, schema)
+
+
 def score_breaks(df: DataFrame, keys: Sequence[str], hard_gap: int, start: str = "s", end: str = "e") -> DataFrame:
     """Segments of disjoint intervals: a gap breaks if the covered length less the gaps falls below zero at it, walking from the left or from the right and anew behind each break, or if it exceeds hard_gap. Column
     segment, from 0 in each part.

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanweave.functions import cigar
-from spanweave.operators import graph, intervals, joins, segments, variants, windows
+from spanweave.operators import graph, intervals, joins, matching, segments, variants, windows
 
 IV = "k string, s long, e long"
 HAND = [("a", 0, 5), ("a", 5, 9), ("a", 12, 12), ("a", 20, 15), ("a", 16, 18), ("a", 16, 18), ("a", 23, 30), ("b", 7, 8), (None, 1, 2)]
@@ -254,3 +254,12 @@ def test_components_hand_the_planner_small_sizes(spark):
     labels = graph.components(chain)
     assert len(str(labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 10
     assert {r["component"] for r in labels.collect()} == {0}
+
+
+def test_windows_walk_without_a_call_a_group(spark):
+    rows = [(k, 50 * i, 50 * i + 20) for k in range(40) for i in range(40)] + [(None, 0, 5), (None, 3, 9), (None, 900, 950)]
+    df = matching.preferred_windows(spark.createDataFrame(rows, "k int, s long, e long"), ["k"], 120)
+    assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["k"], r["s"]): (r["part"], r["window"]) for r in df.collect()}
+    assert all(got[k, 50 * i] == (1, i // 3 if i else 0) for k in range(40) for i in range(40))
+    assert [got[None, s] for s in (0, 3, 900)] == [(1, 0), (1, 0), (2, 0)]
