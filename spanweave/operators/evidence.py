@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -128,24 +130,41 @@ def owned_edges(df: DataFrame, allele: Sequence[str]) -> DataFrame:
     An allele's rows are one small group.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept = pdf[pdf["kind"] == "kept"]
-        taken = [(a, b) for a, b in zip(kept["first"], kept["last"]) if a < b]
-        size, span, length = (int(pdf[c].iloc[0]) for c in ("current", "span", "length"))
+    def owned(rows: list[tuple]) -> list[tuple]:
+        """rows: kind, first, last, key, current, span, length, in order of first, last and key."""
+        taken = [(a, b) for kind, a, b, *_ in rows if kind == "kept" and a < b]
+        size, span, length = (int(x) for x in rows[0][4:])
+        starts, ends = [r for r in rows if r[0] == "start"], [r for r in rows if r[0] == "end"]
         out = []
-        for side, reach, rows in (("start", 0, pdf[pdf["kind"] == "start"].sort_values(["first", "last"], kind="stable")), ("end", length, pdf[pdf["kind"] == "end"].sort_values(["last", "first"], ascending=False, kind="stable"))):
-            for a, b, key in zip(rows["first"], rows["last"], rows["key"]):
+        for side, reach, found in (("start", 0, starts), ("end", length, sorted(ends, key=lambda r: (r[2], r[1]), reverse=True))):
+            for _, a, b, key, *_ in found:
                 joins = a == reach if side == "start" else b == reach
                 if joins and size - (b - a) >= span and not any(x < b and a < y for x, y in taken):
                     out.append((key, side))
                     if a < b:
                         taken.append((a, b))
                     size, reach = size - (b - a), b if side == "start" else a
-        made = pd.DataFrame(out, columns=["key", "side"])
-        return made.assign(**{c: pdf[c].iloc[0] for c in allele})[[*allele, "key", "side"]]
+        return out
+
+    def run(batches):
+        """Alleles come one after the other; the last of a batch waits for its rest."""
+        held = None
+        for pdf in itertools.chain(batches, [None]):
+            last = pdf is None
+            rest = held if last else pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if rest is None or rest.empty:
+                continue
+            bounds = [*np.flatnonzero(rest["_first"].to_numpy()).tolist(), *([len(rest)] if last else [])]
+            rows = list(zip(*[rest[c].tolist() for c in ("kind", "first", "last", "key", "current", "span", "length")]))
+            found = [(at, *edge) for at, to in itertools.pairwise(bounds) for edge in owned(rows[at:to])]
+            held = None if last else rest.iloc[bounds[-1] :].reset_index(drop=True)
+            at = [f[0] for f in found]
+            if found:
+                yield rest[list(allele)].iloc[at].reset_index(drop=True).assign(key=[f[1] for f in found], side=[f[2] for f in found])
 
     schema = T.StructType([*[df.schema[c] for c in allele], df.schema["key"], T.StructField("side", T.StringType())])
-    return df.groupBy(*allele).applyInPandas(run, schema)
+    first = F.row_number().over(Window.partitionBy(*allele).orderBy("first", "last", "key")) == 1
+    return df.select(*allele, "kind", "first", "last", "key", "current", "span", "length", first.alias("_first")).mapInPandas(run, schema)
 
 
 def fallback_owners(candidates: DataFrame, valid: DataFrame, keys: Sequence[str], label: str, line: str, score: str, least: float, *, bin_width: int) -> DataFrame:

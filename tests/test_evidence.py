@@ -142,3 +142,17 @@ def test_scans_reject_bad_rows(spark, tmp_path):
     index = files.fai_of(spark.createDataFrame([("a", "ACGTACGT"), ("b", "AC")], "name string, sequence string"), 5).orderBy("name").collect()
     content = ">a\nACGTA\nCGT\n>b\nAC\n"
     assert [content[r["offset"]] for r in index] == ["A", "A"] and content[index[1]["offset"] :] == "AC\n"
+
+
+def test_owned_edges_walk_alleles_across_batches(spark):
+    rows = [(k, "start", 0, 5, 1, 100, 50, 100) for k in range(60)] + [(k, "start", 5, 10, 2, 100, 50, 100) for k in range(60)] + [(k, "end", 90, 100, 3, 100, 50, 100) for k in range(0, 60, 2)] + [(None, "kept", 0, 3, 4, 100, 50, 100), (None, "start", 0, 5, 5, 100, 50, 100)]
+    df = spark.createDataFrame(rows, "allele int, kind string, first long, last long, key long, current long, span long, length long")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        made = evidence.owned_edges(df, ["allele"])
+        assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().optimizedPlan().toString()
+        got = sorted((r["allele"], r["key"], r["side"]) for r in made.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == sorted([(k, 1, "start") for k in range(60)] + [(k, 2, "start") for k in range(60)] + [(k, 3, "end") for k in range(0, 60, 2)])
