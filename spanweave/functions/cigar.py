@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -106,12 +107,16 @@ def masked_gap_score(cigar: Column, reference: Column, query: Column) -> Column:
     return F.aggregate(scored_runs(cigar), start, step, lambda acc: F.when(inside(acc), acc["score"]))
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once a row: Spark computes what higher-order functions hold anew wherever it is written."""
+    return F.transform(F.array(value), then)[0]
+
+
 def confident_part(cigar: Column, least: float = 100, match: float = 4, mismatch: float = 8, opening: float = 12, per_log2: float = 100) -> Column:
     """(q0, q1, r0, r1, cigar) of the alignment without its weak edges; null if nothing is left.
 
     From each side the score of the runs between the first and the last match is summed; where it falls below 0 the edge moves behind that run and the sum starts again, and it stays once the sum exceeds `least`. No gap is cut.
     """
-    runs = scored_runs(cigar)
     gap = lambda n: F.lit(float(opening)) + F.log2(n.cast("double")) * float(per_log2)
     worth = lambda o: F.when(o["op"] == "=", o["n"] * float(match)).when(o["op"] == "X", o["n"] * float(-mismatch)).when(o["op"].isin("I", "D"), -gap(o["n"])).otherwise(0.0)
 
@@ -129,12 +134,17 @@ def confident_part(cigar: Column, least: float = 100, match: float = 4, mismatch
     def used(part: Column, ops: str) -> Column:
         return F.aggregate(part, F.lit(0).cast("long"), lambda acc, o: acc + F.when(F.instr(F.lit(ops), o["op"]) > 0, o["n"]).otherwise(0))
 
-    kinds = F.transform(runs, lambda o: o["op"])
-    first, last = F.array_position(kinds, "=").cast("int"), (F.size(runs) + 1 - F.array_position(F.reverse(kinds), "=")).cast("int")
-    inner = F.slice(runs, first, last - first + 1)
-    left, right = weak(inner), F.size(inner) - weak(F.reverse(inner))
-    head, kept = F.slice(runs, F.lit(1), first - 1 + left), F.slice(inner, left + 1, right - left)
-    q0, r0 = used(head, QUERY_OPS), used(head, REFERENCE_OPS)
-    text = F.array_join(F.transform(kept, lambda o: F.concat(o["n"].cast("string"), o["op"])), "")
-    part = F.struct(q0.alias("q0"), (q0 + used(kept, QUERY_OPS)).alias("q1"), r0.alias("r0"), (r0 + used(kept, REFERENCE_OPS)).alias("r1"), text.alias("cigar"))
-    return F.when(F.array_contains(kinds, "="), F.when(right > left, part))
+    def kept(runs: Column, first: Column, inner: Column, cuts: Column) -> Column:
+        left, right = cuts["left"], F.size(inner) - cuts["right"]
+        head, rest = F.slice(runs, F.lit(1), first - 1 + left), F.slice(inner, left + 1, right - left)
+        text = F.array_join(F.transform(rest, lambda o: F.concat(o["n"].cast("string"), o["op"])), "")
+        made = lambda at, use: F.struct(at["q"].alias("q0"), (at["q"] + use["q"]).alias("q1"), at["r"].alias("r0"), (at["r"] + use["r"]).alias("r1"), text.alias("cigar"))
+        return F.when(right > left, bound(both(head), lambda at: bound(both(rest), lambda use: made(at, use))))
+
+    def part(runs: Column, kinds: Column) -> Column:
+        first, last = F.array_position(kinds, "=").cast("int"), (F.size(runs) + 1 - F.array_position(F.reverse(kinds), "=")).cast("int")
+        cuts = lambda inner: F.struct(weak(inner).alias("left"), weak(F.reverse(inner)).alias("right"))
+        return bound(F.slice(runs, first, last - first + 1), lambda inner: bound(cuts(inner), lambda c: kept(runs, first, inner, c)))
+
+    both = lambda runs: F.struct(used(runs, QUERY_OPS).alias("q"), used(runs, REFERENCE_OPS).alias("r"))
+    return bound(scored_runs(cigar), lambda runs: bound(F.transform(runs, lambda o: o["op"]), lambda kinds: F.when(F.array_contains(kinds, "="), part(runs, kinds))))

@@ -256,6 +256,11 @@ def test_components_hand_the_planner_small_sizes(spark):
     assert {r["component"] for r in labels.collect()} == {0}
 
 
+def test_confident_part_reads_its_runs_once(spark):
+    df = spark.createDataFrame([("3I30=9I40=2X",)], "c string").select(cigar.confident_part(F.col("c")).alias("p"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 4
+
+
 def test_windows_walk_without_a_call_a_group(spark):
     rows = [(k, 50 * i, 50 * i + 20) for k in range(40) for i in range(40)] + [(None, 0, 5), (None, 3, 9), (None, 900, 950)]
     df = matching.preferred_windows(spark.createDataFrame(rows, "k int, s long, e long"), ["k"], 120)
