@@ -218,14 +218,6 @@ def residuals(lengths: DataFrame, removed: DataFrame, key: str, least: int, brea
     return subtract(whole, gone, [key]).where(F.col("e") - F.col("s") >= least)
 
 
-def seen_before(words: DataFrame, key: str, k: int, merge_gap: int) -> DataFrame:
-    """Unions of the k-mers (key, pos, kmer) that occurred earlier in their sequence, with gaps below `merge_gap` closed: key, s, e. A k-mer's first position is a minimum, which combines before the shuffle."""
-    first = words.groupBy(key, "kmer").agg(F.min("pos").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    later = words.join(first, [key, "kmer"]).where(F.col("pos") > F.col("_first"))
-    spans = union(later.select(key, F.col("pos").alias("s"), (F.col("pos") + k).alias("e")), [key])
-    return union(spans, [key], gap=merge_gap, strict=True) if merge_gap > 0 else spans
-
-
 def strand_votes(words: DataFrame, signs: DataFrame, key: str) -> DataFrame:
     """The strand of each sequence by its k-mers (key, kmer canonical, strand 1 or -1) whose sign is known (kmer, sign): key, total (at least 1 if not negative). Occurrences are summed by k-mer before they meet the signs."""
     summed = words.groupBy(key, "kmer").agg(F.sum("strand").alias("_s"))
