@@ -218,13 +218,6 @@ def residuals(lengths: DataFrame, removed: DataFrame, key: str, least: int, brea
     return subtract(whole, gone, [key]).where(F.col("e") - F.col("s") >= least)
 
 
-def strand_votes(words: DataFrame, signs: DataFrame, key: str) -> DataFrame:
-    """The strand of each sequence by its k-mers (key, kmer canonical, strand 1 or -1) whose sign is known (kmer, sign): key, total (at least 1 if not negative). Occurrences are summed by k-mer before they meet the signs."""
-    summed = words.groupBy(key, "kmer").agg(F.sum("strand").alias("_s"))
-    totals = summed.join(signs, "kmer", "left").groupBy(key).agg(F.sum(F.col("_s") * F.coalesce("sign", F.lit(0))).cast("long").alias("total"))
-    return totals.withColumn("total", F.when(F.col("total") >= 0, F.greatest(F.col("total"), F.lit(1).cast("long"))).otherwise(F.col("total")))
-
-
 def exact_groups(members: DataFrame, group: Sequence[str], sequence: str, order: Sequence[Column], member: str) -> DataFrame:
     """Members of a group with the same sequence, whatever its case, stand for one: the first by `order` is their representative: the rows with column representative."""
     return members.withColumn("_h", F.upper(sequence)).withColumn("representative", F.first(member).over(Window.partitionBy(*group, "_h").orderBy(*order))).drop("_h")
