@@ -106,12 +106,12 @@ def one_to_one(rows: DataFrame, references: DataFrame, similar: DataFrame, exact
     Rows and references with equal `exact` columns come first, where the reference is the only one there and one row of a group claims it. Other rows take the only reference that lies closer than
     `cutoff` to them (similar: row, reference, distance), unless it is used or several rows of the group want it.
     """
-    single = references.groupBy(*exact).agg(F.min(reference).alias(reference), F.count_distinct(reference).alias("_n")).where("_n = 1").drop("_n")
+    lone = lambda df, *by: df.groupBy(*by).agg(F.min(reference).alias(reference), F.max(reference).alias("_m")).where(F.col(reference) == F.col("_m")).drop("_m")
+    single = lone(references, *exact)
     alone = lambda df: df.withColumn("_c", F.count("*").over(Window.partitionBy(group, reference))).where("_c = 1").drop("_c")
     first = alone(rows.join(single, list(exact)).select(group, row, reference))
-    near = similar.where(F.col("distance") < cutoff).join(references.select(reference).distinct(), reference, "left_semi").select(row, reference).distinct()
-    only = near.groupBy(row).agg(F.min(reference).alias(reference), F.count("*").alias("_n")).where("_n = 1").drop("_n")
-    wanted = rows.select(group, row).distinct().join(first.select(row), row, "left_anti").join(only, row)
+    near = similar.where(F.col("distance") < cutoff).join(references.select(reference).distinct(), reference, "left_semi").select(row, reference)
+    wanted = rows.select(group, row).distinct().join(first.select(row), row, "left_anti").join(lone(near, row), row)
     second = alone(wanted).join(first.select(group, reference), [group, reference], "left_anti")
     return first.select(row, reference, F.lit("exact").alias("tag")).unionAll(second.select(row, reference, F.lit("similar").alias("tag")))
 

@@ -10,11 +10,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem as intervals of days: k (part), s, e, flag, supp, prio, id (unique in k)."""
+def shipments(spark: SparkSession, sf_dir: str, parts: DataFrame | None = None) -> DataFrame:
+    """lineitem as intervals of days: k (part), s, e, flag, supp, prio, id (unique in k). With `parts` (k), only of these."""
     order = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     day = F.datediff(F.to_date("l_shipdate"), F.lit("1990-01-01").cast("date")).cast("long")
-    return table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem")
+    if parts is not None:
+        lines = lines.join(parts.select(F.col("k").alias("l_partkey")), "l_partkey", "left_semi")
+    return lines.select(
         F.col("l_partkey").alias("k"), day.alias("s"), (day + F.col("l_quantity").cast("long")).alias("e"), F.col("l_returnflag").alias("flag"), F.col("l_suppkey").alias("supp"), F.col("l_extendedprice").alias("prio"), F.row_number().over(order).cast("long").alias("id")
     )
 
